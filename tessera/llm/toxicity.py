@@ -45,8 +45,8 @@ _STEM = 4  # bytes of a word's beginning
 @dataclass(frozen=True)
 class Params:
     #: Bounds of the labelled sample that the token scores are fitted on.
-    toxic_documents: int = 4000
-    clean_documents: int = 8000
+    toxic_documents: int = 2500
+    clean_documents: int = 5000
     prior_documents: float = 10.0
     z: float = 1.0
     least_score: float = 2.0
@@ -236,8 +236,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     sizes = {int(r[0] > 0): r[1] for r in known.groupBy(F.col("toxic") > 0).count().collect()}
     shares = [min(1.0, 1.2 * (most + 30) / max(1, sizes.get(kind, 0))) for kind, most in ((0, params.clean_documents), (1, params.toxic_documents))]
     order = unit_hash(F.col("doc_id"), params.seed)
+    # of bounded size, so that no text is shuffled to be joined with it
     picked = known.where(order < F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0]))
-    rows = docs.where("text is not null").select("doc_id", "text").join(picked, "doc_id").select("toxic", "text", order.alias("o")).collect()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text", order.alias("o")).collect()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     of = lambda kind, most: [r["text"] for r in rows if int(r["toxic"] > 0) == kind][:most]
     return fit_texts(of(1, params.toxic_documents), of(0, params.clean_documents), params)
