@@ -1,15 +1,613 @@
-"""Registered queries of the engine and their SQL."""
+"""Registered queries of the engine, each with the SQL it is compared against."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .functions import text as X
+from .functions import web as W
+from .functions.text import STOPWORDS, Analyzer
+from .operators import crawl as C
+from .operators import incremental as N
+from .operators import index as I
+from .operators import metrics as M
+from .operators import rank as R
+from .operators import suggest as S
+from .operators.snippet import snippets
+from .plans import query as Q
+from .streaming import operators as ST
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_found: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+# ---- SQL blocks ----
+
+_STOP = "[" + ", ".join(f"'{w}'" for w in sorted(STOPWORDS)) + "]"
+_CORPUS = (
+    "corpus AS (SELECT doc_id, text AS content, '/docs/' || source || '/' || doc_id || '.txt' AS path, CAST(strlen(text) AS BIGINT) AS size_bytes, "
+    "1704067200 + (doc_id * 7919) % 2592000 AS mtime FROM documents)"
+)
+_TOKENS = f"{_CORPUS}, toks AS (SELECT doc_id, coalesce(list_filter(list_transform(regexp_extract_all(content, '[A-Za-z0-9]+'), lambda t: lower(t)), lambda t: NOT list_contains({_STOP}, t)), []) AS tokens FROM corpus)"
+_LENGTHS = _TOKENS + ", dl AS (SELECT doc_id, CAST(len(tokens) AS BIGINT) AS dl FROM toks), st AS (SELECT count(*) AS n, coalesce(avg(dl), 0) AS avgdl FROM dl)"
+_POST = _LENGTHS + ", pos AS (SELECT doc_id, unnest(tokens) AS term, unnest(range(len(tokens))) AS pos FROM toks), post AS (SELECT term, doc_id, count(*) AS tf FROM pos GROUP BY ALL), vocab AS (SELECT term, count(*) AS df FROM post GROUP BY ALL)"
+
+
+def _idf() -> str:
+    return "(ln((st.n + 1.0) / (v.df + 1)) + 1)"
+
+
+def _bm25(terms: list[str]) -> str:
+    q = ", ".join(f"('{t}')" for t in terms)
+    return (
+        f", q(term) AS (VALUES {q}), qf AS (SELECT term, count(*) AS qf FROM q GROUP BY ALL), bm AS (SELECT p.doc_id, "
+        "sum(ln(1 + (st.n - v.df + 0.5) / (v.df + 0.5)) * p.tf * 2.5 / (p.tf + 1.5 * (0.25 + 0.75 * dl.dl / CASE WHEN st.avgdl > 0 THEN st.avgdl ELSE 1 END)) * qf.qf) AS score "
+        "FROM post p JOIN qf USING (term) JOIN vocab v USING (term) JOIN dl ON dl.doc_id = p.doc_id CROSS JOIN st GROUP BY p.doc_id)"
+    )
+
+
+def _tfidf(terms: list[str]) -> str:
+    q = ", ".join(f"('{t}')" for t in terms)
+    return (
+        f", q(term) AS (VALUES {q}), norm AS (SELECT p.doc_id, sqrt(sum(((1 + ln(p.tf)) * {_idf()}) ** 2)) AS norm FROM post p JOIN vocab v USING (term) CROSS JOIN st GROUP BY p.doc_id), "
+        f"bm AS (SELECT p.doc_id, sum((1 + ln(p.tf)) * {_idf()}) / max(CASE WHEN norm.norm > 0 THEN norm.norm ELSE 1 END) AS score FROM q JOIN post p USING (term) JOIN vocab v USING (term) JOIN norm ON norm.doc_id = p.doc_id CROSS JOIN st GROUP BY p.doc_id)"
+    )
+
+
+_TOP = " SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT "
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _found[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_found)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
+
+
+# ---- shared plans ----
+
+
+def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = Analyzer()) -> I.Index:
+    return I.build(I.corpus(spark, sf_dir), analyzer)
+
+
+def _light(spark: SparkSession, sf_dir: str) -> I.Index:
+    """An index whose postings hold no positions: counting alone, where no phrase is asked for."""
+    docs = I.analyzed(I.corpus(spark, sf_dir))
+    posted = I.postings(docs, positions=False)
+    stats = I.stats(I.lengths(I.corpus(spark, sf_dir)))
+    return I.Index(docs.drop("tokens"), posted, I.with_idf(I.vocabulary(posted), stats), stats, Analyzer())
+
+
+def _rounded(df: DataFrame, *names: str) -> DataFrame:
+    for n in names:
+        df = df.withColumn(n, F.round(n, 6))
+    return df
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/events.parquet")
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select(F.col("event_type").alias("query"), "ts")
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir)
+    error = F.when(F.col("event_type") == "error", F.lit("error"))
+    return e.select("event_id", F.col("user_id").alias("key"), "ts", F.ceil("value").cast("long").alias("latency_ms"), (F.col("event_type") == "view").alias("cache_hit"), error.alias("error"))
+
+
+_REQ = "req AS (SELECT event_id, user_id AS key, ts, CAST(ceil(value) AS BIGINT) AS latency_ms, event_type = 'view' AS cache_hit, CASE WHEN event_type = 'error' THEN 'error' END AS error FROM events)"
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/pages.parquet")
+
+
+# ---- analysis, index, statistics ----
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id, CAST(len(tokens) AS BIGINT) AS n_tokens FROM toks")
+def tokenize_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lengths(I.corpus(spark, sf_dir)).withColumnRenamed("dl", "n_tokens")
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id, tf FROM post")
+def postings_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.postings(I.analyzed(I.corpus(spark, sf_dir)), positions=False)
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM pos GROUP BY ALL")
+def postings_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = I.postings(I.analyzed(I.corpus(spark, sf_dir)))
+    return posted.select("term", "doc_id", "tf", F.concat_ws(",", F.transform("positions", lambda p: p.cast("string"))).alias("positions"))
+
+
+@_query(f"WITH {_LENGTHS} SELECT doc_id, dl FROM dl")
+def doc_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.lengths(I.corpus(spark, sf_dir))
+
+
+@_query(f"WITH {_LENGTHS} SELECT n, round(avgdl, 6) AS avgdl FROM st")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(I.stats(I.lengths(I.corpus(spark, sf_dir))), "avgdl")
+
+
+@_query(f"WITH {_POST} SELECT term, df FROM vocab")
+def doc_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.vocabulary(I.postings(I.analyzed(I.corpus(spark, sf_dir)), positions=False))
+
+
+@_query(f"WITH {_POST} SELECT term, df FROM vocab ORDER BY df DESC, term LIMIT 20")
+def df_top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.top_terms(doc_frequency(spark, sf_dir), 20)
+
+
+@_query(f"WITH {_POST} SELECT v.term, v.df, round({_idf()}, 6) AS idf FROM vocab v CROSS JOIN st")
+def idf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(_light(spark, sf_dir).vocab, "idf")
+
+
+@_query(f"WITH {_POST} SELECT p.doc_id, round(sqrt(sum(((1 + ln(p.tf)) * {_idf()}) ** 2)), 6) AS norm FROM post p JOIN vocab v USING (term) CROSS JOIN st GROUP BY p.doc_id")
+def doc_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _light(spark, sf_dir)
+    return _rounded(I.norms(index.postings, index.vocab), "norm")
+
+
+_STEM = "CASE " + " ".join(f"WHEN t LIKE '%{s}' AND length(t) > {len(s) + 2} THEN substr(t, 1, length(t) - {len(s)})" for s in ("ing", "ed", "ly", "es", "s")) + " ELSE t END"
+
+
+@_query(f"WITH {_CORPUS}, w AS (SELECT doc_id, lower(unnest(regexp_extract_all(content, '[A-Za-z0-9]+'))) AS t FROM corpus), s AS (SELECT doc_id, {_STEM} AS term FROM w) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM s WHERE NOT list_contains({_STOP}, term) GROUP BY ALL")
+def stem_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = I.postings(I.analyzed(I.corpus(spark, sf_dir), Analyzer(stemming=True)), positions=False)
+    return posted.groupBy("term").agg(F.sum("tf").alias("n"), F.count("*").alias("df"))
+
+
+@_query(f"WITH {_POST} SELECT CAST((SELECT sum(32 + 4 * tf) FROM post) + 88 * n AS BIGINT) AS index_bytes FROM st")
+def index_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _light(spark, sf_dir)
+    return I.size_estimate(index.postings, index.stats)
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id, doc_id - lag(doc_id, 1, 0) OVER (PARTITION BY term ORDER BY doc_id) AS gap FROM post")
+def posting_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.gaps(postings_tf(spark, sf_dir)).select("term", "doc_id", "gap")
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, path, size_bytes, mtime FROM corpus")
+def documents_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).select("doc_id", "path", "size_bytes", "mtime")
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, path, content FROM corpus WHERE doc_id = 7")
+def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).where("doc_id = 7").select("doc_id", "path", "content")
+
+
+@_query("SELECT count(*) AS n FROM documents")
+def document_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).agg(F.count("*").alias("n"))
+
+
+@_query(f"WITH {_LENGTHS} SELECT doc_id, dl FROM dl ORDER BY dl DESC, doc_id LIMIT 50")
+def hot_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return doc_length(spark, sf_dir).orderBy(F.desc("dl"), "doc_id").limit(50)
+
+
+# ---- ranking ----
+
+
+@_query(f"WITH {_POST}{_bm25(['ther', 'aux', 'than'])}{_TOP}10")
+def bm25_or_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.top(R.score_bm25(_light(spark, sf_dir), ["ther", "aux", "than"]), 10), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['ther', 'aux', 'than'])} SELECT doc_id, round(score, 6) AS score FROM bm")
+def bm25_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.score_bm25(_light(spark, sf_dir), ["ther", "aux", "than"]), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['en', 'er', 'en', 'en'])}{_TOP}10")
+def bm25_qf_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.top(R.score_bm25(_light(spark, sf_dir), ["en", "er", "en", "en"]), 10), "score")
+
+
+@_query(f"WITH {_POST}{_tfidf(['ther', 'aux', 'than'])}{_TOP}10")
+def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.top(R.score_tfidf(_light(spark, sf_dir), ["ther", "aux", "than"]), 10), "score")
+
+
+@_query(f"WITH {_POST}{_tfidf(['en', 'er', 'en'])} SELECT doc_id, round(score, 6) AS score FROM bm")
+def tfidf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.score_tfidf(_light(spark, sf_dir), ["en", "er", "en"]), "score")
+
+
+_CAND = f"WITH {_POST}{_bm25(['ther', 'than'])}, c AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 100)"
+
+
+@_query(_CAND + " SELECT doc_id, path, size_bytes, mtime, round(score, 6) AS score FROM c JOIN corpus USING (doc_id) ORDER BY mtime DESC, doc_id LIMIT 10")
+def sort_by_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.search(_light(spark, sf_dir), "ther than", 10, "date"), "score")
+
+
+@_query(_CAND + " SELECT doc_id, path, size_bytes, mtime, round(score, 6) AS score FROM c JOIN corpus USING (doc_id) ORDER BY size_bytes DESC, doc_id LIMIT 10")
+def sort_by_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.search(_light(spark, sf_dir), "ther than", 10, "size"), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['ther', 'than'])} SELECT doc_id, round(score, 6) AS score FROM bm ORDER BY bm.score DESC, doc_id LIMIT 10 OFFSET 10")
+def page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.page(R.score_bm25(_light(spark, sf_dir), ["ther", "than"]), 2, 100), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['ther', 'than'])}{_TOP}20")
+def shard_topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.sharded_top(R.score_bm25(_light(spark, sf_dir), ["ther", "than"]), 8, 20), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['ther', 'than'])}, t AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(least(100.0, score * 5), 6) AS relevance FROM t")
+def rank_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = R.ranked(R.top(R.score_bm25(_light(spark, sf_dir), ["ther", "than"]), 10))
+    return _rounded(best.withColumn("relevance", X.relevance(F.col("score"))), "score", "relevance")
+
+
+# ---- Boolean queries ----
+
+
+def _matches(query: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        docs = I.analyzed(I.corpus(spark, sf_dir))
+        node = Q.parse(query)
+        return Q.match(node, I.postings(docs, positions=Q.has_phrase(node)), I.corpus(spark, sf_dir))
+
+    return run
+
+
+def _has(term: str) -> str:
+    return f"list_contains(tokens, '{term}')"
+
+
+def _phrase(*words: str) -> str:
+    inner = " AND ".join(f"tokens[i + {n}] = '{w}'" for n, w in enumerate(words))
+    return f"len(list_filter(range(1, len(tokens) + 1), lambda i: coalesce({inner}, false))) > 0"
+
+
+for _name, _text, _cond in (
+    ("bool_term", "ther", _has("ther")),
+    ("bool_and", "ther AND than", f"{_has('ther')} AND {_has('than')}"),
+    ("bool_or", "aux OR schen", f"{_has('aux')} OR {_has('schen')}"),
+    ("bool_not", "NOT en", f"NOT {_has('en')}"),
+    ("bool_and_not", "er AND NOT en", f"{_has('er')} AND NOT {_has('en')}"),
+    ("bool_nested", "(ther OR aux) AND NOT (en OR \"de de\")", f"({_has('ther')} OR {_has('aux')}) AND NOT ({_has('en')} OR {_phrase('de', 'de')})"),
+    ("bool_postfix", "ther than AND", f"{_has('ther')} AND {_has('than')}"),
+    ("phrase_2", '"de de"', _phrase("de", "de")),
+    ("phrase_3", '"de la de"', _phrase("de", "la", "de")),
+    ("phrase_not", 'de AND NOT "de de"', f"{_has('de')} AND NOT {_phrase('de', 'de')}"),
+):
+    _found[_name] = _matches(_text)
+    _sql[_name] = f"WITH {_TOKENS} SELECT doc_id FROM toks WHERE {_cond}"
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id FROM toks WHERE {_has('ther')} INTERSECT SELECT doc_id FROM toks WHERE {_has('than')}")
+def list_and(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = postings_tf(spark, sf_dir)
+    return Q.list_and(Q.term_docs(posted, "ther"), Q.term_docs(posted, "than"))
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id FROM toks WHERE {_has('ther')} UNION SELECT doc_id FROM toks WHERE {_has('than')}")
+def list_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    posted = postings_tf(spark, sf_dir)
+    return Q.list_or(Q.term_docs(posted, "ther"), Q.term_docs(posted, "than"))
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id FROM toks EXCEPT SELECT doc_id FROM toks WHERE {_has('en')}")
+def list_not(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q.list_not(Q.term_docs(postings_tf(spark, sf_dir), "en"), I.corpus(spark, sf_dir))
+
+
+@_query(f"WITH {_POST}{_bm25(['er', 'en'])}, m AS (SELECT doc_id FROM toks WHERE {_has('er')} AND NOT {_has('en')}) SELECT doc_id, round(coalesce(score, 0), 6) AS score FROM m LEFT JOIN bm USING (doc_id) ORDER BY coalesce(bm.score, 0) DESC, doc_id LIMIT 10")
+def bool_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = _light(spark, sf_dir)
+    return _rounded(R.top(R.match_scored(index, Q.parse("er AND NOT en"), ["er", "en"]), 10), "score")
+
+
+@_query(f"WITH {_POST}{_bm25(['aux', 'pour'])}, c AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 100) SELECT doc_id, path, size_bytes, mtime, round(score, 6) AS score FROM c JOIN corpus USING (doc_id) ORDER BY c.score DESC, doc_id LIMIT 10")
+def fallback_or(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(R.search(_light(spark, sf_dir), "aux pour", 10), "score")
+
+
+# ---- suggestions, logs, metrics ----
+
+
+@_query(f"WITH {_POST} SELECT term, df FROM vocab WHERE starts_with(term, 'th') ORDER BY df DESC, term LIMIT 10")
+def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.autocomplete(doc_frequency(spark, sf_dir), "th", 10)
+
+
+@_query(f"WITH {_POST} SELECT term, df, CAST(levenshtein(term, 'ther') AS INTEGER) AS distance FROM vocab WHERE levenshtein(term, 'ther') <= 2")
+def spell_correct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.spelling(doc_frequency(spark, sf_dir), "ther", 2)
+
+
+@_query(
+    f"WITH {_POST}, s AS (SELECT term, df, levenshtein(term, 'thar') AS d FROM vocab WHERE levenshtein(term, 'thar') <= 2) SELECT 'thar' AS word, 'correction' AS kind, term, df FROM (SELECT * FROM s ORDER BY d, df DESC, term LIMIT 3) "
+    "UNION ALL SELECT 'thar', 'completion', term, df FROM (SELECT * FROM vocab WHERE starts_with(term, 'thar') ORDER BY df DESC, term LIMIT 5)"
+)
+def zero_result_assistant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.assistant(doc_frequency(spark, sf_dir), ["thar"])
+
+
+@_query("SELECT event_type AS query, count(*) AS n FROM events GROUP BY ALL ORDER BY n DESC, query LIMIT 10")
+def popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.popular(_log(spark, sf_dir), 10)
+
+
+@_query("SELECT event_type AS query, count(*) AS n FROM events WHERE starts_with(event_type, 's') OR event_type IS NULL GROUP BY ALL HAVING query IS NOT NULL ORDER BY n DESC, query LIMIT 5")
+def query_suggest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.suggest_queries(_log(spark, sf_dir), "s", 5)
+
+
+@_query("SELECT count(DISTINCT event_type) AS distinct_queries FROM events")
+def distinct_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.distinct_queries(_log(spark, sf_dir))
+
+
+@_query(f"WITH {_REQ} SELECT CASE WHEN latency_ms <= 1 THEN 0 ELSE least(31, length(ltrim(bin(latency_ms - 1), '0'))) END::INTEGER AS bucket, count(*) AS n FROM req GROUP BY ALL")
+def latency_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.latency_histogram(_requests(spark, sf_dir))
+
+
+_SUMMARY = (
+    "SELECT count(*) AS queries, CAST(coalesce(sum(cache_hit::INT), 0) AS BIGINT) AS cache_hits, round(coalesce(avg(latency_ms), 0), 6) AS avg_latency, coalesce(min(latency_ms) FILTER (latency_ms > 0), 0) AS min_latency, "
+    "coalesce(max(latency_ms), 0) AS max_latency, round(coalesce(sum(cache_hit::INT) * 100.0 / nullif(count(*), 0), 0)::DOUBLE, 6) AS cache_hit_rate, count(error) AS errors FROM req"
+)
+
+
+@_query(f"WITH {_REQ} {_SUMMARY}")
+def latency_extremes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(M.summary(_requests(spark, sf_dir)), "avg_latency", "cache_hit_rate")
+
+
+@_query("SELECT event_type AS name, round(sum(value), 4) AS value FROM events GROUP BY ALL")
+def named_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.counters(_events(spark, sf_dir).select(F.col("event_type").alias("name"), "value")).withColumn("value", F.round("value", 4))
+
+
+@_query("SELECT event_type AS name, arg_max(value, ts) AS value FROM events GROUP BY ALL")
+def gauges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.latest(_events(spark, sf_dir).select(F.col("event_type").alias("name"), "value", "ts"), "name", "value")
+
+
+@_query(
+    f"WITH {_POST}, {_REQ}, sm AS ({_SUMMARY}), top AS (SELECT string_agg(term || ':' || df, ',' ORDER BY df DESC, term) AS top_terms FROM (SELECT * FROM vocab ORDER BY df DESC, term LIMIT 20)) "
+    "SELECT st.n AS docs, CAST(((SELECT sum(32 + 4 * tf) FROM post) + 88 * st.n) // 1024 AS BIGINT) AS index_kb, round(st.avgdl, 6) AS avg_doc_len, 'bm25' AS scoring, queries, cache_hits, avg_latency, cache_hit_rate, (SELECT count(DISTINCT event_type) FROM events) AS distinct_queries, top_terms FROM st, sm, top"
+)
+def stats_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = M.dashboard(_light(spark, sf_dir), _requests(spark, sf_dir), _log(spark, sf_dir))
+    shown = F.concat_ws(",", F.transform("top_terms", lambda x: F.concat_ws(":", x["term"], x["df"].cast("string"))))
+    return _rounded(row.withColumn("top_terms", shown), "avg_doc_len", "avg_latency", "cache_hit_rate")
+
+
+@_query(f"WITH {_REQ}, sm AS ({_SUMMARY}) SELECT printf('queries=%d cache_hits=%d avg_latency_ms=%.2f cache_hit_rate=%.2f%% errors=%d', queries, cache_hits, avg_latency, cache_hit_rate, errors) AS report FROM sm")
+def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.report(M.summary(_requests(spark, sf_dir)))
+
+
+@_query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type AS query, count(*) AS n FROM events GROUP BY ALL")
+def windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.windowed_counts(_log(spark, sf_dir))
+
+
+@_query(
+    "WITH RECURSIVE e AS (SELECT event_id, user_id AS key, ts FROM events), w AS (SELECT key, min(ts) AS start FROM e GROUP BY key UNION ALL "
+    "SELECT w.key, (SELECT min(e.ts) FROM e WHERE e.key = w.key AND e.ts >= w.start + INTERVAL 60 SECOND) AS start FROM w WHERE w.start IS NOT NULL), "
+    "p AS (SELECT e.*, (SELECT max(w.start) FROM w WHERE w.key = e.key AND w.start <= e.ts) AS start FROM e) "
+    "SELECT key, ts, event_id, row_number() OVER (PARTITION BY key, start ORDER BY ts, event_id) <= 60 AS allowed FROM p"
+)
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ST.rate_limit(_requests(spark, sf_dir))
+
+
+@_query(
+    "WITH RECURSIVE e AS (SELECT event_id, event_type AS key, ts FROM events), w AS (SELECT key, min(ts) AS start FROM e GROUP BY key UNION ALL "
+    "SELECT w.key, (SELECT min(e.ts) FROM e WHERE e.key = w.key AND e.ts >= w.start + INTERVAL 3600 SECOND) AS start FROM w WHERE w.start IS NOT NULL), "
+    "s AS (SELECT e.event_id, e.key, e.ts, w.start FROM e ASOF JOIN (SELECT * FROM w WHERE start IS NOT NULL) w ON e.key = w.key AND e.ts >= w.start) "
+    "SELECT key, ts, event_id, row_number() OVER (PARTITION BY key, start ORDER BY ts, event_id) <= 5 AS allowed FROM s"
+)
+def rate_limit_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _events(spark, sf_dir).select("event_id", F.col("event_type").alias("key"), "ts")
+    return ST.rate_limit(e, 5, 3_600_000_000)
+
+
+# ---- snippets and display ----
+
+_SNIP_WORDS = ["ther", "than"]
+_SNIP_SQL = (
+    f"WITH {_POST}{_bm25(_SNIP_WORDS)}, best10 AS (SELECT doc_id FROM bm ORDER BY score DESC, doc_id LIMIT 10), "
+    "d AS (SELECT doc_id, content, translate(content, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM corpus JOIN best10 USING (doc_id)), "
+    "w(word, place) AS (VALUES ('ther', 1), ('than', 2)), parts AS (SELECT doc_id, low, word, string_split(low, word) AS p FROM d, w), "
+    "hits AS (SELECT doc_id, low, unnest(list_transform(range(1, len(p)), lambda i: list_sum(list_transform(p[1:i], lambda x: length(x))) + (i - 1) * length(word)))::INT AS pos FROM parts WHERE len(p) > 1), "
+    "keyed AS (SELECT doc_id, pos, (SELECT arg_min(word, place) FROM w WHERE substr(low, pos + 1, length(word)) = word) AS key FROM hits), "
+    "win AS (SELECT doc_id, pos, count(DISTINCT key) OVER r AS n, min(pos) OVER r AS lft FROM keyed WINDOW r AS (PARTITION BY doc_id ORDER BY pos RANGE BETWEEN 300 PRECEDING AND CURRENT ROW)), "
+    "b AS (SELECT doc_id, arg_max(lft, n * 10000000 - pos) AS best FROM win GROUP BY doc_id), "
+    "c1 AS (SELECT d.doc_id, content, greatest(best - 40, 0) AS s0, least(length(content), greatest(best - 40, 0) + 380) AS e0 FROM d JOIN b USING (doc_id)), "
+    "c2 AS (SELECT doc_id, content, greatest(length(regexp_extract(substr(content, 1, s0 + 1), '(?s)^(.*[ \\n])[^ \\n]*$', 1)) - 1, 0) AS s, e0 + length(regexp_extract(substr(content, e0 + 1), '^[^ \\n]*')) AS e FROM c1) "
+    "SELECT doc_id, CASE WHEN s > 0 THEN '...' ELSE '' END || trim(substr(content, s + 1, e - s), ' ' || chr(9) || chr(10) || chr(13)) || CASE WHEN e < length(content) THEN '...' ELSE '' END AS snippet FROM c2"
+)
+
+
+@_query(_SNIP_SQL)
+def snippet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    best = R.top(R.score_bm25(_light(spark, sf_dir), _SNIP_WORDS), 10)
+    chosen = I.corpus(spark, sf_dir).join(F.broadcast(best), "doc_id").select("doc_id", "content")
+    return snippets(chosen, _SNIP_WORDS)
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, substr(content, 1, 200) || CASE WHEN length(content) > 200 THEN '...' ELSE '' END AS snippet FROM corpus")
+def snippet_no_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snippets(I.corpus(spark, sf_dir), [])
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, regexp_replace(substr(content, 1, 200), '(?i)(ther|than)', '<mark>\\1</mark>', 'g') AS marked FROM corpus")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).select("doc_id", X.highlight(F.substring("content", 1, 200), "ther OR than").alias("marked"))
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[.]txt$', '') AS shown FROM corpus")
+def clean_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).select("doc_id", X.display_path(F.col("path")).alias("shown"))
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, substr(regexp_replace(regexp_replace(content, '[\\t\\n\\r]', ' ', 'g'), '[^ -~]', '', 'g'), 1, 512) AS clean, strlen(content) <= 1000 AS valid FROM corpus")
+def sanitize_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.corpus(spark, sf_dir).select("doc_id", X.sanitize(F.col("content")).alias("clean"), X.valid_query(F.col("content")).alias("valid"))
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id, sha256(path) AS password_hash, rtrim(translate(base64(path::BLOB), '+/', '-_'), '=') AS b64, round(size_bytes / 1024.0, 1)::DOUBLE AS kb, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%b %-d, %Y') AS day FROM corpus")
+def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = I.corpus(spark, sf_dir)
+    return c.select("doc_id", X.password_hash(F.col("path")).alias("password_hash"), X.base64url(F.col("path").cast("binary")).alias("b64"), X.size_kb(F.col("size_bytes")).alias("kb"), X.day(F.col("mtime")).alias("day"))
+
+
+@_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _events(spark, sf_dir).select("event_id", X.json_field(F.col("props"), "k").alias("k"))
+
+
+@_query("SELECT page_id, replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;') AS escaped FROM pages")
+def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", X.html_escape(F.col("html")).alias("escaped"))
+
+
+@_query(f"WITH {_POST}{_bm25(_SNIP_WORDS)}, t AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, '{{\"docID\":' || doc_id || ',\"path\":\"' || path || '\",\"size\":' || size_bytes || ',\"mtime\":' || mtime || '}}' AS json FROM t JOIN corpus USING (doc_id)")
+def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = R.search(_light(spark, sf_dir), "ther than", 10)
+    fields = F.struct(F.col("doc_id").alias("docID"), "path", F.col("size_bytes").alias("size"), "mtime")
+    return found.select("doc_id", F.to_json(fields).alias("json"))
+
+
+# ---- web ----
+
+_HTML_SQL = (
+    "regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(?:script|style).*?(?:/script[^>]?|/style[^>]{0,2})>|<(?:script|style).*$|<[^>]*>|>', ' ', 'g'), "
+    "'(?s)<[^>]*$', ''), '[ \\n\\r\\t]+', ' ', 'g')"
+)
+_LINKS_SQL = "list_filter(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1), lambda x: x <> '' AND NOT starts_with(x, '#') AND NOT starts_with(x, 'mailto:'))"
+
+
+@_query(f"SELECT page_id, {_HTML_SQL} AS text FROM pages")
+def html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", W.html_text(F.col("html")).alias("text"))
+
+
+@_query(f"SELECT page_id, CAST(len(l) AS INTEGER) AS n, array_to_string(l, ' ') AS links FROM (SELECT page_id, {_LINKS_SQL} AS l FROM pages)")
+def html_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = W.links(F.col("html"))
+    return _pages(spark, sf_dir).select("page_id", F.size(found).alias("n"), F.concat_ws(" ", found).alias("links"))
+
+
+@_query("SELECT page_id, regexp_extract(url, '^(.*?)://', 1) AS scheme, regexp_extract(url, '^.*?://([^/]*)', 1) AS host, CASE WHEN regexp_extract(url, '^.*?://[^/]*(/.*)?$', 1) = '' THEN '/' ELSE regexp_extract(url, '^.*?://[^/]*(/.*)?$', 1) END AS path FROM pages")
+def url_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", W.url_parts(F.col("url")).alias("u")).select("page_id", "u.*")
+
+
+@_query(f"SELECT url, link, regexp_extract(url, '^(.*?://[^/]*)', 1) || link AS target FROM (SELECT url, unnest({_LINKS_SQL}) AS link FROM pages) WHERE starts_with(link, '/') UNION ALL SELECT url, link, CASE WHEN starts_with(link, 'http') THEN link END FROM (SELECT url, unnest({_LINKS_SQL}) AS link FROM pages) WHERE NOT starts_with(link, '/')")
+def link_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.page_links(_pages(spark, sf_dir)).select("url", "link", "target")
+
+
+@_query("SELECT page_id, substr(translate(url, '/:?&=#', '______'), 1, 120) AS name FROM pages")
+def url_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pages(spark, sf_dir).select("page_id", W.file_name(F.col("url")).alias("name"))
+
+
+@_query(f"WITH one AS (SELECT url, any_value(html) AS html FROM pages GROUP BY url HAVING count(*) = 1) SELECT url, 'URL: ' || url || chr(10) || chr(10) || {_HTML_SQL} AS content FROM one")
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    once = _pages(spark, sf_dir).groupBy("url").agg(F.min("html").alias("html"), F.count("*").alias("n")).where("n = 1")
+    return once.select("url", W.page_file(F.col("url"), W.html_text(F.col("html"))).alias("content"))
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of a link graph over nations: each region's page links to its nations, each nation's to the next and to its customers' segment."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    r = spark.read.parquet(f"{sf_dir}/region.parquet")
+    root = r.agg(F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.lit('<a href="/r'), F.col("r_regionkey").cast("string"), F.lit('">r</a>'))))).alias("html")).select(F.lit("http://w/").alias("url"), "html")
+    regions = n.groupBy("n_regionkey").agg(F.concat_ws("", F.sort_array(F.collect_list(F.concat(F.lit('<a href="http://w/n'), F.col("n_nationkey").cast("string"), F.lit('">n</a>'))))).alias("html")).select(F.concat(F.lit("http://w/r"), F.col("n_regionkey").cast("string")).alias("url"), "html")
+    nations = n.select(F.concat(F.lit("http://w/n"), F.col("n_nationkey").cast("string")).alias("url"), F.concat(F.lit("<p>"), F.col("n_name"), F.lit('</p><a href="/n'), (F.col("n_nationkey") + 1).cast("string"), F.lit('">next</a><a href="/">home</a>')).alias("html"))
+    return root.unionByName(regions).unionByName(nations)
+
+
+@_query(
+    "SELECT 'http://w/' AS url, 0 AS depth UNION ALL SELECT DISTINCT 'http://w/r' || n_regionkey, 1 FROM nation UNION ALL SELECT 'http://w/n' || n_nationkey, 2 FROM nation"
+)
+def crawl_bfs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.crawl(_graph(spark, sf_dir), ["http://w/"], 100, 3).select("url", "depth")
+
+
+# ---- incremental ----
+
+
+def _snapshots(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Two states of the corpus: Spanish documents come in, short ones go, a source's are touched, French ones had no time."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars").join(I.corpus(spark, sf_dir).select("doc_id", "path", "mtime"), "doc_id")
+    old = docs.where("lang <> 'es'").withColumn("mtime", F.when(F.col("lang") == "fr", F.lit(0)).otherwise(F.col("mtime")))
+    new = docs.where("n_chars >= 500").withColumn("mtime", F.when(F.col("source").isin("src0", "src1"), F.col("mtime") + 60).otherwise(F.col("mtime")))
+    return old.select("path", "mtime"), new.select("path", "mtime")
+
+
+_SNAPS = (
+    f"{_CORPUS}, both_ AS (SELECT path, mtime, lang, source, n_chars FROM corpus JOIN documents USING (doc_id)), "
+    "old AS (SELECT path, CASE WHEN lang = 'fr' THEN 0 ELSE mtime END AS mtime FROM both_ WHERE lang <> 'es'), "
+    "new AS (SELECT path, CASE WHEN source IN ('src0', 'src1') THEN mtime + 60 ELSE mtime END AS mtime FROM both_ WHERE n_chars >= 500), "
+    "diff AS (SELECT path, CASE WHEN n.mtime IS NULL THEN 'removed' WHEN o.mtime IS NULL THEN 'added' WHEN o.mtime <> n.mtime AND o.mtime <> 0 THEN 'modified' END AS change FROM old o FULL OUTER JOIN new n USING (path))"
+)
+
+
+@_query(f"WITH {_SNAPS} SELECT path, change FROM diff WHERE change IS NOT NULL")
+def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.sync_diff(*_snapshots(spark, sf_dir))
+
+
+@_query(f"WITH {_SNAPS} SELECT count(*) FILTER (change IN ('added', 'modified')) AS added, count(*) FILTER (change = 'removed') AS removed, count(*) FILTER (change = 'modified') AS modified FROM diff")
+def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.sync_counts(N.sync_diff(*_snapshots(spark, sf_dir)))
+
+
+@_query(f"WITH {_POST}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT term, count(*) AS df FROM post WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY ALL")
+def remove_docs_df(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
+    return N.remove(_light(spark, sf_dir), gone).vocab.select("term", "df")
+
+
+@_query("WITH c AS (SELECT 'n' || n_nationkey AS path, n_name AS content, n_nationkey AS seq FROM nation UNION ALL SELECT 'n' || n_regionkey, n_name, 100 + n_nationkey FROM nation), t AS (SELECT 'n' || r_regionkey AS path, r_name AS content, -1 AS seq FROM region), a AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS i FROM (SELECT * FROM c UNION ALL SELECT * FROM t)) SELECT path, content FROM a WHERE i = 1")
+def upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n, r = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
+    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("path")
+    changes = n.select(name("n_nationkey"), F.col("n_name").alias("content"), F.col("n_nationkey").cast("long").alias("seq")).unionByName(n.select(name("n_regionkey"), F.col("n_name").alias("content"), (F.col("n_nationkey") + 100).cast("long").alias("seq")))
+    return N.upsert(r.select(name("r_regionkey"), F.col("r_name").alias("content")), changes)
+
+
+def _wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    op = F.when(F.col("event_type") == "error", F.when(F.col("value") > 150, "REINDEX").otherwise("REMOVE")).when(F.col("event_type") == "signup", "REMOVE").otherwise("ADD")
+    return _events(spark, sf_dir).select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+
+
+@_query("WITH w AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN CASE WHEN value > 150 THEN 'REINDEX' ELSE 'REMOVE' END WHEN event_type = 'signup' THEN 'REMOVE' ELSE 'ADD' END AS op, 'u' || user_id AS path FROM events), r AS (SELECT coalesce(max(seq), -1) AS reset FROM w WHERE op = 'REINDEX') SELECT path, arg_max(op, seq) AS op FROM w, r WHERE op <> 'REINDEX' AND seq > reset GROUP BY path")
+def wal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return N.wal_fold(_wal(spark, sf_dir))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import file_name, html_text, links, page_file, resolve, url_parts
+from ..workspace import written
 
 AGENT = "tessera"
 
@@ -50,15 +51,16 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 50, max_depth: in
         if rules is not None:
             open_ = allowed(open_, rules)
         got = pages.join(open_, "url", "left_semi").dropDuplicates(["url"]).withColumn("text", html_text(F.col("html"))).where(F.trim("text") != "")
-        got = got.orderBy("url").limit(left).select("url", "html", "text").persist()
+        got = got.orderBy("url").limit(left).select("url", "html", "text")
+        got = written(got, "crawl")
         n = got.count()
         layer = got.select("url", F.lit(depth).alias("depth"), "text")
         out = layer if out is None else out.unionByName(layer)
         left -= n
         if not n or left <= 0 or depth == max_depth:
             break
-        visited = visited.union(frontier).distinct()
-        frontier = page_links(got).where("target is not null").select(F.col("target").alias("url")).distinct().join(visited, "url", "left_anti").persist()
+        visited = written(visited.union(frontier).distinct(), "visited")
+        frontier = written(page_links(got).where("target is not null").select(F.col("target").alias("url")).distinct().join(visited, "url", "left_anti"), "frontier")
     return out
 
 
