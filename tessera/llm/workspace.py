@@ -1,34 +1,13 @@
-"""Tables written between steps, in the folder that every executor shares."""
+"""What several operators of this subpackage share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-CONF = "spark.checkpoint.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), one of our own."""
-    named = spark.conf.get(CONF, None) or spark.sparkContext.getConf().get(CONF)
-    if named:
-        return named.rstrip("/")
-    held = spark.sparkContext.getCheckpointDir()
-    if held is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-"))
-        held = spark.sparkContext.getCheckpointDir()
-    return held.rstrip("/")
-
+from ..workspace import shared_dir, written
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it again: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["shared_dir", "table", "unit_hash", "written"]
 
 
 def unit_hash(column, seed: int = 0):
