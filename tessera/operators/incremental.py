@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import numbered
 from .index import Index, postings, recomputed
 
 OPS = {"ADD": 1, "REMOVE": 2, "REINDEX": 3}
@@ -45,8 +46,8 @@ def sync(index: Index, snapshot: DataFrame) -> Index:
     gone = index.docs.join(changed.select("path"), "path", "left_semi")
     highest = index.docs.agg(F.coalesce(F.max("doc_id"), F.lit(-1)).alias("top"))
     fresh = snapshot.join(diff.where("change in ('added', 'modified')").select("path"), "path", "left_semi")
-    numbered = fresh.withColumn("doc_id", F.row_number().over(Window.orderBy("path"))).crossJoin(F.broadcast(highest)).withColumn("doc_id", (F.col("doc_id") + F.col("top")).cast("long")).drop("top")
-    tokened = numbered.withColumn("tokens", index.analyzer.tokens(F.col("content"))).withColumn("dl", F.size("tokens").cast("long"))
+    placed = numbered(fresh).crossJoin(F.broadcast(highest)).withColumn("doc_id", F.col("doc_id") + F.col("top") + 1).drop("top")
+    tokened = placed.withColumn("tokens", index.analyzer.tokens(F.col("content"))).withColumn("dl", F.size("tokens").cast("long"))
     docs = index.docs.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(tokened.select(*index.docs.columns))
     posted = index.postings.join(gone.select("doc_id"), "doc_id", "left_anti").unionByName(postings(tokened))
     return recomputed(docs, posted, index.analyzer, index.version + 1)

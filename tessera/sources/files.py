@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..workspace import written
+
 TEXT = (".txt", ".md", ".markdown")
 #: One list for every scan, so that a later comparison doesn't take formats for vanished.
 EXTENSIONS = (*TEXT, ".pdf", ".doc", ".docx")
@@ -42,10 +44,11 @@ def numbered(docs: DataFrame, order: str = "path") -> DataFrame:
     """With doc_id = place in the order, from 0.
 
     Ranges are sorted in parallel and each gets the number of rows before it, so
-    that no single task has to see all rows.
+    that no single task has to see all rows.  They are written, since their borders
+    come from a sample and need not be the same when they are made again.
     """
     spread = docs.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
-    spread = spread.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
+    spread = written(spread.withColumn("__r", F.row_number().over(Window.partitionBy("__p").orderBy(order))), "numbered")
     sizes = spread.groupBy("__p").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return spread.join(F.broadcast(before), "__p").withColumn("doc_id", (F.col("__before") + F.col("__r") - 1).cast("long")).drop("__p", "__r", "__before")
