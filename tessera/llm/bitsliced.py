@@ -185,7 +185,7 @@ def top_k(vectors: DataFrame, params: Params = Params()) -> DataFrame:
 
     found = asks.groupBy("dim", "b", "q").cogroup(rows.groupBy("dim", "b", "q")).applyInArrow(search, _SCHEMA)
     rank = F.row_number().over(Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbor_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= params.k).select("vec_id", "rank", "neighbor_id", F.round("score", 6).alias("score"))
+    return found.withColumn("rank", rank).where(F.col("rank") <= params.k).select("vec_id", "rank", "neighbor_id", "score")
 
 
 SQL = """
@@ -195,5 +195,5 @@ s AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.v, b.v) / a.n / b.n, 9) AS sim
   FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.n > 0 AND b.n > 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbor_id) AS INTEGER) AS rank FROM s)
-SELECT vec_id, rank, neighbor_id, round(sim, 6) AS score FROM r WHERE rank <= 10
+SELECT vec_id, rank, neighbor_id, sim AS score FROM r WHERE rank <= 10
 """

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import unit_hash, written
+from .workspace import fresh, unit_hash, written
 
 #: Rows up to which the table of exponents is sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -135,33 +135,33 @@ def exponents(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return spark.createDataFrame(found, kind)
 
 
-def with_exponent(rows: DataFrame, exponent: DataFrame, n: int, source: str, lang: str) -> DataFrame:
-    """Adds __exponent; sent to every executor if it is small, else joined by key."""
-    side = exponent.select(F.col("m_source").alias("__s"), F.col("m_lang").alias("__l"), F.col("m_exponent").alias("__exponent"))
+def with_exponent(rows: DataFrame, exponent: DataFrame, n: int, source: str, lang: str, name: str = "m_exponent") -> DataFrame:
+    """Adds the exponent by that name; sent to every executor if it is small, else joined by key."""
+    s, l = fresh([*rows.columns, name], "__s", "__l")
+    side = exponent.select(F.col("m_source").alias(s), F.col("m_lang").alias(l), F.col("m_exponent").alias(name))
     if n <= BROADCAST_ROWS:
         side = F.broadcast(side)
-    joined = rows.join(side, rows[source].cast("string").eqNullSafe(side["__s"]) & rows[lang].cast("string").eqNullSafe(side["__l"]), "left").drop("__s", "__l")
-    return joined.withColumnRenamed("__exponent", "m_exponent") if source == "m_source" else joined
+    return rows.join(side, rows[source].cast("string").eqNullSafe(side[s]) & rows[lang].cast("string").eqNullSafe(side[l]), "left").drop(s, l)
 
 
 def _copies(rate: Column, doc_id: Column, seed: int) -> Column:
     return F.floor(rate + unit_hash(doc_id, seed)).cast("int")
 
 
-def _rated(docs: DataFrame, params: Params) -> DataFrame:
+def _rated(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
     found = exponents(docs, params)
-    rows = with_exponent(docs, found, found.count(), "source", "lang")
-    return rows.withColumn("__rate", F.exp(F.coalesce("__exponent", F.lit(0.0)) * tokens()))
+    name = fresh(docs.columns, "__exponent")[0]
+    return with_exponent(docs, found, found.count(), "source", "lang", name), F.exp(F.coalesce(name, F.lit(0.0)) * tokens())
 
 
 def rates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, source, tokens, rate, copies) of every document."""
-    rated = _rated(docs.select("doc_id", "source", "lang", "text"), params)
-    return rated.select("doc_id", "source", tokens().alias("tokens"), F.round("__rate", 6).alias("rate"), _copies(F.col("__rate"), F.col("doc_id"), params.seed).alias("copies"))
+    rated, rate = _rated(docs.select("doc_id", "source", "lang", "text"), params)
+    return rated.select("doc_id", "source", tokens().alias("tokens"), F.round(rate, 6).alias("rate"), _copies(rate, F.col("doc_id"), params.seed).alias("copies"))
 
 
 def apply_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Every document as many times as it has copies, with all its columns."""
-    rated = _rated(docs, params)
-    repeated = rated.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), _copies(F.col("__rate"), F.col("doc_id"), params.seed))))
+    rated, rate = _rated(docs, params)
+    repeated = rated.withColumn(fresh(rated.columns, "__copy")[0], F.explode(F.array_repeat(F.lit(0), _copies(rate, F.col("doc_id"), params.seed))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import written
+from .workspace import fresh, written
 
 _SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B, 0x9EFC4947, 0x5C6BFB31)
 
@@ -33,13 +33,20 @@ class Params:
     broadcast_blocks: int = 2_000_000
 
 
+def _without_endings(path: Column) -> Column:
+    """Without any .html, .htm and slashes at the end.  Each ending becomes one character of private use, to be trimmed: a repeated group would recurse."""
+    marked = F.replace(F.replace(path, F.lit(".html"), F.lit("\ue000")), F.lit(".htm"), F.lit("\ue001"))
+    bare = F.rtrim(marked, F.lit("/\ue000\ue001"))
+    return F.replace(F.replace(bare, F.lit("\ue000"), F.lit(".html")), F.lit("\ue001"), F.lit(".htm"))
+
+
 def canonical(url: Column) -> Column:
     """Without scheme, fragment, default port, www. or m., tracking parameters, .html and closing slashes; host in lower case."""
     bare = F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^[A-Za-z][A-Za-z0-9+.-]*://", "")
     host = F.regexp_extract(bare, "^[^/?]*", 0)
     rest = F.substring(bare, F.length(host) + 1, F.length(bare))
     host = F.regexp_replace(F.regexp_replace(F.lower(host), "^(www|m)[.]", ""), ":(80|443)$", "")
-    path = F.regexp_replace(F.regexp_extract(rest, "^[^?]*", 0), "([.]html?|/)+$", "")
+    path = _without_endings(F.regexp_extract(rest, "^[^?]*", 0))
     query = F.regexp_extract(rest, "[?](.*)$", 1)
     query = F.regexp_replace(F.regexp_replace(query, "(^|&)(utm_[a-z]*|ref)=[^&]*", ""), "^&+", "")
     return F.when(url.isNotNull(), F.concat(host, path, F.when(query == "", "").otherwise(F.concat(F.lit("?"), query))))
@@ -65,22 +72,24 @@ def possible(rows: DataFrame, key: str, keys: DataFrame, params: Params = Params
     """The rows whose key the filter of the keys (a column key, distinct) lets pass."""
     n = keys.count()
     blocks = max(1, -(-n * params.bits_per_key // 256))
-    table = filter_table(keys, blocks)
+    block, *words = fresh(rows.columns, "__block", *[f"__w{i}" for i in range(8)])
+    table = filter_table(keys, blocks).toDF(block, *words)
     if blocks <= params.broadcast_blocks:
         table = F.broadcast(table)
-    found = rows.withColumn("__block", _block(F.col(key), blocks)).join(table, "__block")
-    for i in range(8):
+    found = rows.withColumn(block, _block(F.col(key), blocks)).join(table, block)
+    for i, w in enumerate(words):
         m = _mask(F.col(key), i)
-        found = found.where(F.col(f"__w{i}").bitwiseAND(m) == m)
-    return found.drop("__block", *[f"__w{i}" for i in range(8)])
+        found = found.where(F.col(w).bitwiseAND(m) == m)
+    return found.drop(block, *words)
 
 
 def listed(pages: DataFrame, urls: DataFrame, params: Params = Params()) -> DataFrame:
-    """The pages (with all their columns, and canonical_url) whose canonical URL is that of one of the urls (column url)."""
+    """The pages (with all their columns, and canonical_url, or that with underscores where there is one) whose canonical URL is that of one of the urls (column url)."""
     keys = written(urls.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct(), "urls")
-    rows = pages.withColumn("__key", canonical(F.col("url"))).where("__key is not null")
-    hits = possible(rows, "__key", keys, params)
-    return hits.join(keys, hits["__key"] == keys["key"], "left_semi").withColumnRenamed("__key", "canonical_url")
+    name = fresh(pages.columns, "canonical_url")[0]
+    rows = pages.withColumn(name, canonical(F.col("url"))).where(F.col(name).isNotNull())
+    hits = possible(rows, name, keys, params)
+    return hits.join(keys, hits[name] == keys["key"], "left_semi")
 
 
 def bad_urls(pages: DataFrame, labels: DataFrame) -> DataFrame:

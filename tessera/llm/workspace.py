@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from ..workspace import shared_dir, written
 
-__all__ = ["shared_dir", "table", "unit_hash", "written"]
+__all__ = ["fresh", "shared_dir", "table", "unit_hash", "written"]
+
+
+def fresh(taken: list[str], *names: str) -> list[str]:
+    """The names, each with underscores until no column (of any case) has it."""
+    used, out = {c.lower() for c in taken}, []
+    for n in names:
+        while n.lower() in used:
+            n += "_"
+        used.add(n.lower())
+        out.append(n)
+    return out
 
 
 def unit_hash(column, seed: int = 0):
