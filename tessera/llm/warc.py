@@ -42,7 +42,7 @@ SCHEMA = "warc_record_id string, warc_type string, warc_target_uri string, warc_
 def _header(line: bytes, version: int) -> dict[str, str] | None:
     parts = line.rstrip(b"\r").split(b" ")
     names = FIELDS[version]
-    if len(parts) < len(names) or not parts[-1].isdigit():
+    if len(parts) < len(names) or not parts[-1].isdigit() or len(parts[-1]) > 18:
         return None
     extra = len(parts) - len(names)  # blanks in an old URL
     parts = [b" ".join(parts[: extra + 1]), *parts[extra + 1 :]]
@@ -62,15 +62,14 @@ def read(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bool]]:
         if end < 0:
             return
         first = data.startswith(b"filedesc://", at)
-        head = _header(data[at:end], 1 if first else version) or (_header(data[at:end], 2) if first else None)
+        if first:  # the block begins with the version, by which its own header line is read too
+            version = 2 if data[end + 1 : end + 3] == b"2 " else 1
+        head = _header(data[at:end], version) or (_header(data[at:end], 1) if first else None)
         at = end + 1
         if head is None:
             continue
         length = int(head["length"])
         block = data[at : at + length]
-        if first:
-            number = block.split(b" ", 1)[0]
-            version = int(number) if number in (b"1", b"2") else 1
         at += length
         yield head, block, len(block) < length
 

@@ -50,8 +50,8 @@ def _text(rng: random.Random, toxic: bool) -> str:
 @pytest.fixture(scope="module")
 def tables(spark):
     rng = random.Random(6)
-    rows = [(i, _text(rng, i % 5 == 0)) for i in range(600)]
-    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(300)], "doc_id long, toxic int")
+    rows = [(i, _text(rng, i % 5 == 0)) for i in range(1600)]
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(1200)], "doc_id long, toxic int")
 
 
 def test_held_out(tables) -> None:
@@ -59,10 +59,10 @@ def test_held_out(tables) -> None:
     model = T.fit(docs, labels)
     found = T.passages(docs, model).collect()
     caught = {r["doc_id"] for r in found}
-    toxic = {i for i in range(600) if i % 5 == 0}
-    held = lambda s: {i for i in s if i >= 300}
+    toxic = {i for i in range(1600) if i % 5 == 0}
+    held = lambda s: {i for i in s if i >= 1200}
     assert len(held(caught & toxic)) >= 0.95 * len(held(toxic)) and len(caught - toxic) <= 5
-    assert {r["doc_id"] for r in T.keep_clean(docs, model).collect()} == set(range(600)) - caught
+    assert {r["doc_id"] for r in T.keep_clean(docs, model).collect()} == set(range(1600)) - caught
     texts = {r["doc_id"]: r["text"].split() for r in docs.collect()}
     for r in found:
         inside = texts[r["doc_id"]][r["first_word"] : r["last_word"] + 1]
@@ -90,5 +90,5 @@ def test_odd_rows(spark, tables) -> None:
     assert kept.columns == df.columns and {1, 2, 3} <= {r["doc_id"] for r in kept.collect()} and 5 not in {r["doc_id"] for r in kept.collect()}
     assert T.passages(df.limit(0), model).count() == 0
     none = T.fit(docs, labels.where("toxic = 0"))
-    assert T.passages(docs, none).count() == 0 and T.keep_clean(docs, none).count() == 600
+    assert T.passages(docs, none).count() == 0 and T.keep_clean(docs, none).count() == 1600
     assert T.passages(docs, T.fit(docs.limit(0), labels.limit(0))).count() == 0
