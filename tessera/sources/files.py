@@ -55,7 +55,10 @@ def numbered(docs: DataFrame, order: str = "path") -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str, recursive: bool = True, only: str | None = None) -> DataFrame:
-    """(doc_id, path, size_bytes, mtime, content) of a folder's documents; without recursion, Word formats are left out."""
+    """(doc_id, path, size_bytes, mtime, content) of a folder's documents; without recursion, Word formats are left out.
+
+    Files of no bytes are passed over, as Spark's file sources do.
+    """
     known = EXTENSIONS if recursive else tuple(e for e in EXTENSIONS if e not in (".doc", ".docx"))
     files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
     ending = F.regexp_extract("path", r"(\.[^./]*)$", 1)
