@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,7 @@ from .operators import suggest as S
 from .operators.snippet import snippets
 from .plans import query as Q
 from .streaming import operators as ST
+from .workspace import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -611,3 +613,65 @@ def _wal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("WITH w AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN CASE WHEN value > 150 THEN 'REINDEX' ELSE 'REMOVE' END WHEN event_type = 'signup' THEN 'REMOVE' ELSE 'ADD' END AS op, 'u' || user_id AS path FROM events), r AS (SELECT coalesce(max(seq), -1) AS reset FROM w WHERE op = 'REINDEX') SELECT path, arg_max(op, seq) AS op FROM w, r WHERE op <> 'REINDEX' AND seq > reset GROUP BY path")
 def wal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.wal_fold(_wal(spark, sf_dir))
+
+# ---- streams, stored indexes, robots, reports ----
+
+
+def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events as a stream of files."""
+    path = f"{sf_dir}/events.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+
+
+@_query("SELECT event_type AS query, count(*) AS n FROM events GROUP BY ALL")
+def stream_popular(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Running counts as a stream's last batch leaves them."""
+    log = _stream(spark, sf_dir).select(F.col("event_type").alias("query"))
+    return ST.settled(ST.popularity(log), "popular", "complete")
+
+
+@_query(_sql["rate_limit"].replace("SELECT key, ts, event_id,", "SELECT key, event_id,"))
+def stream_rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    requests = _stream(spark, sf_dir).select("event_id", F.col("user_id").alias("key"), "ts")
+    return ST.settled(ST.rate_limit_stream(requests), "limited", "append")
+
+
+@_query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type AS query, count(*) AS n FROM events GROUP BY ALL")
+def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = _stream(spark, sf_dir).select(F.col("event_type").alias("query"), "ts")
+    return ST.settled(ST.windowed_counts(log), "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id, tf FROM post WHERE term IN ('ther', 'than')")
+def index_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A term lookup in an index that was saved and loaded; its filter is pushed to the scan."""
+    path = f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}"
+    I.save(_index(spark, sf_dir), path)
+    return I.load(spark, path).postings.where(F.col("term").isin("ther", "than")).select("term", "doc_id", "tf")
+
+
+@_query(f"WITH {_POST} SELECT term, doc_id FROM post")
+def posting_gaps_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.ungapped(posting_gaps(spark, sf_dir).withColumnRenamed("doc_id", "place"), "place").select("term", "doc_id")
+
+
+@_query("SELECT page_id, url FROM pages WHERE NOT (starts_with(regexp_extract(url, '^.*?://[^/]*(/.*)$', 1), '/de/') OR starts_with(regexp_extract(url, '^.*?://[^/]*(/.*)$', 1), '/en/1'))")
+def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages that may be fetched, where every host has the same robots file."""
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    body = "User-agent: other\nDisallow: /fr\n\n# all\nUser-agent: *\nDisallow: /de/\nDisallow:\n\nUser-agent: tessera\nDisallow: /en/1\n"
+    robots = pages.select(W.url_parts(F.col("url"))["host"].alias("host")).where("host is not null").distinct().withColumn("body", F.lit(body))
+    return C.allowed(pages, C.robots_rules(robots))
+
+
+@_query("SELECT '{\"status\":\"ok\",\"docs\":' || count(*) || '}' AS health FROM documents")
+def health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.health(_light(spark, sf_dir))
+
+
+@_query(
+    f"WITH {_REQ}, sm AS ({_SUMMARY}) SELECT printf('# TYPE query_total counter\\nquery_total %d\\n# TYPE cache_hits_total counter\\ncache_hits_total %d\\n# TYPE cache_hit_rate gauge\\ncache_hit_rate %.2f\\n# TYPE query_latency_ms histogram\\nquery_latency_avg_ms %.2f\\n"
+    "query_latency_min_ms %d\\nquery_latency_max_ms %d\\n# TYPE errors_total counter\\nerrors_total %d\\n', queries, cache_hits, cache_hit_rate, avg_latency, min_latency, max_latency, errors) AS report FROM sm".replace("\\n", "' || chr(10) || '").replace("printf('", "printf(('", 1).replace("', queries", "'), queries", 1)
+)
+def prometheus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.prometheus(M.summary(_requests(spark, sf_dir)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
+from ..workspace import shared_dir
+
 LIMIT, WINDOW_US = 60, 60_000_000
 
 
@@ -64,11 +67,23 @@ def popularity(log: DataFrame) -> DataFrame:
 def windowed_counts(events: DataFrame, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """Counts by tumbling window with a watermark (beyond what a query log needs)."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)  # watermarks need a time with zone
     w = events.groupBy(F.window("ts", size).alias("w"), "query").agg(F.count("*").alias("n"))
     return w.select(F.col("w.start").alias("start"), "query", "n")
 
 
+def settled(stream: DataFrame, name: str, mode: str) -> DataFrame:
+    """What a stream's query has given once all that is there was processed; batches and checkpoint go to the shared folder."""
+    spark = stream.sparkSession
+    at = f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{at}/out/batch={number if mode == 'append' else 0}")
+
+    stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
+
+
 def ingest(source: DataFrame, target: str, checkpoint: str):
     """Append documents of a stream whose path isn't in the target yet, once for each batch."""
     from ..sources.sinks import _exists
