@@ -172,7 +172,7 @@ def doc_norm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(I.norms(index.postings, index.vocab), "norm")
 
 
-_STEM = "CASE " + " ".join(f"WHEN t LIKE '%{s}' AND length(t) > {len(s) + 2} THEN substr(t, 1, length(t) - {len(s)})" for s in ("ing", "ed", "ly", "es", "s")) + " ELSE t END"
+_STEM = "CASE " + " ".join(f"WHEN t LIKE '%{s}' AND length(t) > {len(s) + 2} THEN substr(t, 1, length(t) - {len(s)})" for s in X._SUFFIXES) + " ELSE t END"
 
 
 @_query(f"WITH {_CORPUS}, w AS (SELECT doc_id, lower(unnest(regexp_extract_all(content, '[A-Za-z0-9]+'))) AS t FROM corpus), s AS (SELECT doc_id, {_STEM} AS term FROM w) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS df FROM s WHERE NOT list_contains({_STOP}, term) GROUP BY ALL")

@@ -15,7 +15,7 @@ STOPWORDS = frozenset(
     "its may me might my no not of on or our shall she should so that the their them these they this "
     "those to us was we were will with would you".split()
 )
-_SUFFIXES = ("ing", "ed", "ly", "es", "s")
+_SUFFIXES = tuple("ing ed ly es s".split())
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 

@@ -15,7 +15,8 @@ SORTS = {"score": "score", "date": "mtime", "size": "size_bytes"}
 
 
 def bm25_idf(n: Column, df: Column) -> Column:
-    return F.log(1 + (n - df + 0.5) / (df + 0.5))
+    """The logarithm of one more than the odds (n - df + 1/2) : (df + 1/2) that a document lacks the term."""
+    return F.log((n + 1) / (df + 0.5))
 
 
 def bm25(tf: Column, dl: Column, df: Column, n: Column, avgdl: Column) -> Column:
