@@ -136,13 +136,18 @@ def fit_rows(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
         if taken[lang] <= params.landmarks_per_language:
             landmarks.append(i)
     grams = np.unique(np.concatenate([codes[i] for i in landmarks]))
-    of = np.repeat(np.arange(len(rows)), [len(x) for x in codes])
-    x = _matrix(of, np.concatenate(codes), len(rows), grams) / np.sqrt(size)[:, None].astype(np.float32)
-    z = x[landmarks].astype(float)
+    root_size = np.sqrt(size)[:, None].astype(np.float32)
+
+    def features(some: list[int]) -> np.ndarray:
+        of = np.repeat(np.arange(len(some)), [len(codes[i]) for i in some])
+        return (_matrix(of, np.concatenate([codes[i] for i in some]), len(some), grams) / root_size[some]).astype(float)
+
+    z = features(landmarks)
     values, vectors = np.linalg.eigh(z @ z.T)
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2), up to a rotation
-    phi = (x.astype(float) @ z.T) @ root
+    every = list(range(len(rows)))
+    phi = np.concatenate([features(every[at : at + 128]) @ z.T for at in range(0, len(rows), 128)]) @ root  # in blocks, to spare the driver's memory
     y = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own, _ in rows])
     mean, bias = phi.mean(0), y.mean(0)
     centred = phi - mean
@@ -159,7 +164,7 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
         return fit_rows([], params)
     order = unit_hash(F.col("doc_id"), params.seed)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * (params.train_per_language + 20) / n))) for k, n in sorted(counts.items())])
-    rows = labelled.where(order < share).select("lang", "text", order.alias("o")).collect()
+    rows = labelled.where(order < share).select("lang", "text", order.alias("o")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     left = dict.fromkeys(counts, params.train_per_language)
     chosen = []
