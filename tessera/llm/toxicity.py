@@ -238,7 +238,7 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     order = unit_hash(F.col("doc_id"), params.seed)
     # of bounded size, so that no text is shuffled to be joined with it
     picked = known.where(order < F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0]))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text", order.alias("o")).collect()
+    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text", order.alias("o")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     of = lambda kind, most: [r["text"] for r in rows if int(r["toxic"] > 0) == kind][:most]
     return fit_texts(of(1, params.toxic_documents), of(0, params.clean_documents), params)
