@@ -2,29 +2,38 @@
 
 from __future__ import annotations
 
+import io
 import os
-import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
 
+from .workspace import shared_dir
+
 _ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Give this package to the session's Python workers, once; they need not have it on their path."""
+    """Give this package to the session's Python workers, once, by way of the shared folder; they need not have it on their path."""
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
-    fd, path = tempfile.mkstemp(prefix="tessera-", suffix=".zip")
-    with os.fdopen(fd, "wb") as f, zipfile.ZipFile(f, "w") as z:
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w") as z:
         for folder, _, names in os.walk(os.path.join(_ROOT, "tessera")):
             for n in names:
                 if n.endswith(".py"):
                     full = os.path.join(folder, n)
                     z.write(full, os.path.relpath(full, _ROOT))
-    spark.sparkContext.addPyFile(path)  # copied by the driver's file server; the executors fetch it from there
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}.zip")
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    try:
+        out.write(packed.getvalue())
+    finally:
+        out.close()
+    spark.sparkContext.addPyFile(path.toString())
     _shipped.add(app)
 
 
