@@ -17,7 +17,10 @@ added.  The result is the same.
 Bands: for each language, a document's log-perplexity is compared with the
 median of the long documents; its spread is their median deviation, widened
 for short texts by the within-document variance of a byte's log-probability over
-the length.  Documents below ``lower`` or above ``upper`` spreads are rejected.
+the length.  With labels, a language's band is that which leaves out the share
+``tail`` of its documents of quality 1 at either end; one with less than
+``least_clean`` of them takes the band of all languages' together.  Without labels,
+or without that many, documents below ``lower`` or above ``upper`` spreads are rejected.
 
 Results in odd cases
   * null or empty text: nothing to score, rejected.
@@ -26,6 +29,7 @@ Results in odd cases
     Null doc_id: all such rows of a language are one document.
   * a language without a document of ``long_bytes``: its median is that of all.
   * a language with no spread at all (one document): nothing is rejected.
+  * labels with null or repeated doc_id: left out, and counted once.
   * a text longer than any buffer: scored whole.  An empty table: an empty result.
   * further columns are not read.
 """
@@ -55,6 +59,8 @@ class Params:
     widening: float = 2.0
     long_bytes: int = 1500
     broadcast_entries: int = 16_000_000
+    tail: float = 0.002
+    least_clean: int = 200
 
 
 def grams(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -299,6 +305,21 @@ def rated(docs: DataFrame, params: Params = Params()) -> DataFrame:
     return scored.join(F.broadcast(limits), "l").select("doc_id", "lang", F.round(F.exp(value), 4).alias("perplexity"), F.round(F.when(spread > 0, (value - F.col("median")) / spread).otherwise(0.0), 4).alias("deviation"))
 
 
-def kept(docs: DataFrame, params: Params = Params()) -> DataFrame:
+def clean_bands(rates: DataFrame, labels: DataFrame, params: Params) -> tuple[tuple[float, float], dict[str | None, tuple[float, float]]]:
+    """(least, most) deviation for languages without a band of their own, and by language, from all documents of quality 1."""
+    clean = rates.join(labels.where("quality = 1").select("doc_id").distinct(), "doc_id")
+    ends = [F.count("*").alias("n"), F.percentile("deviation", F.array(F.lit(params.tail), F.lit(1 - params.tail))).alias("ends")]
+    enough = lambda t: t.where(F.col("n") >= params.least_clean).collect()
+    every = enough(clean.agg(*ends))
+    own = {r["lang"]: tuple(r["ends"]) for r in enough(clean.groupBy("lang").agg(*ends))}
+    return tuple(every[0]["ends"]) if every else (-params.lower, params.upper), own
+
+
+def kept(docs: DataFrame, params: Params = Params(), labels: DataFrame | None = None) -> DataFrame:
     """The documents within their language's bands."""
-    return rated(docs, params).where((F.col("deviation") >= -params.lower) & (F.col("deviation") <= params.upper))
+    rates = rated(docs, params)
+    every, own = clean_bands(rates, labels, params) if labels is not None else ((-params.lower, params.upper), {})
+    within = F.col("deviation").between(*every)
+    for lang, ends in own.items():
+        within = F.when(F.col("lang").eqNullSafe(F.lit(lang)), F.col("deviation").between(*ends)).otherwise(within)
+    return rates.where(within)

@@ -19,7 +19,7 @@ def op2_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return perplexity.kept(table(spark, sf_dir, "documents"))
+    return perplexity.kept(table(spark, sf_dir, "documents"), labels=table(spark, sf_dir, "labels"))
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,23 @@ def test_bands_reject_the_odd_ones(spark) -> None:
     assert 900 not in kept and 901 not in kept and len(kept) >= 117
 
 
+def test_bands_from_clean_documents(spark) -> None:
+    """Junk too near to the others for the loose bands goes by those of labelled documents, at the upper end too."""
+    rng = random.Random(5)
+    prose = lambda words, n: " ".join(rng.choice(words) for _ in range(n))
+    words = ["river", "stone", "winter", "garden", "letter", "window"]
+    rows = [(i, prose(words, 300), "a" if i % 2 else "b") for i in range(500)]
+    rows += [(1000 + i, " | ".join(rng.choice(words).upper() + rng.choice("xyz") for _ in range(200)), "a" if i % 2 else "b") for i in range(100)]
+    df = spark.createDataFrame(rows, DOC)
+    labels = spark.createDataFrame([*((i, 1) for i in range(0, 500)), (0, 1), (None, 1), (1000, 0)], "doc_id long, quality int")
+    params = P.Params(lower=1000.0, upper=1000.0)
+    assert P.kept(df, params).count() == 600
+    got = {r["doc_id"] for r in P.kept(df, params, labels).collect()}
+    assert not [i for i in got if i >= 1000] and len(got) >= 490
+    few = P.kept(df, params, labels.where("doc_id < 150"))  # too few labels: lower and upper stand
+    assert few.count() == 600
+
+
 def test_odd_rows(spark) -> None:
     rows = [(1, None, "a"), (2, "", "a"), (3, "one text", "a"), (None, "no id", "b"), (4, "no language", None), (5, "x" * 3_000_000, "c"), (6, "twice", "d"), (6, "twice", "d")]
     df = spark.createDataFrame(rows, DOC).selectExpr("*", "1 l", "2 s", "3 n", "4 g")
