@@ -8,13 +8,20 @@ in that space.  Because the kernel is linear in the presence vector, landmarks,
 Nyström factor and ridge weights fold into one matrix, and a batch of
 documents is scored by one product: presence x folded, scaled by row.
 
+``fit`` sets what a text must reach.  The scores of L languages add up to 2 - L,
+so that the best is never below 2 / L - 1.  Every fifth row of the sample is held
+out of a first fit; the quantile ``tail`` of the held-out rows' best scores, moved by
+``slack`` of the way to that floor, is the least score (with one language there is
+none), and that of their known shares, moved as much to ``min_known``, the least known share.
+
 A text's letters are lower-cased; every other ASCII byte counts as a space.
 
 Results in odd cases
   * null or empty text, or a text without letters: rejected (no language).
-  * a text that no language's regression claims (every score below
-    ``min_score``), or of whose distinct n-grams the landmarks have less than
-    the share ``min_known`` (another script or language): rejected.
+  * a text that no language's regression claims (every score below the
+    least), or of whose distinct n-grams the landmarks have less than
+    the least known share (another script or language): rejected.
+  * fewer than ``least_held`` held-out rows: ``min_score`` and ``min_known`` are the limits.
   * two languages with equal scores: the first in alphabetical order.
   * null ``doc_id``: classified like any other row.  Repeated rows: each row.
   * ``lang`` null in the labelled rows: such rows are not used for the fit.
@@ -25,7 +32,7 @@ Results in odd cases
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +57,9 @@ class Params:
     ridge: float = 1e-2
     min_score: float = -0.5
     min_known: float = 0.5
+    tail: float = 0.002
+    slack: float = 0.1
+    least_held: int = 20
     seed: int = 10
 
 
@@ -172,15 +182,28 @@ def fit(docs: DataFrame, params: Params = Params()) -> Model:
         if left[r["lang"]] > 0:
             left[r["lang"]] -= 1
             chosen.append((r["lang"], r["text"]))
-    return fit_rows(chosen, params)
-
-
-def score_column(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Index of the best language, its score, and whether the text is accepted."""
+    return limited(fit_rows(chosen, params), chosen, params)
+
+
+def limited(model: Model, rows: list[tuple[str, str]], params: Params) -> Model:
+    """The model with the limits that held-out rows of its sample set."""
+    held = rows[4::5]
+    if len(held) < params.least_held:
+        return model
+    first = fit_rows([r for i, r in enumerate(rows) if i % 5 != 4], params)
+    _, top, known, letters = measured(first, pa.array([text for _, text in held], pa.large_string()))
+    if not letters.any():
+        return model
+    least = lambda x, floor: max(floor, (1 - params.slack) * float(np.quantile(x[letters], params.tail)) + params.slack * floor)
+    floor = 2 / len(first.languages) - 1
+    score = least(top, floor) if len(first.languages) > 1 else params.min_score
+    return replace(model, min_score=max(params.min_score, score), min_known=least(known, params.min_known))
+
+
+def measured(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language, its score, the share of known n-grams, and whether the text has letters."""
     n = len(column)
-    best, top, ok = np.zeros(n, np.int64), np.full(n, -1.0), np.zeros(n, bool)
-    if not model.languages:
-        return best, top, ok
+    best, top, known, letters = np.zeros(n, np.int64), np.full(n, -1.0), np.zeros(n), np.zeros(n, bool)
     for first, after, raw, offsets in runs(column):
         of, code = presence(raw, offsets)
         size = np.maximum(np.bincount(of, minlength=after - first), 1)
@@ -188,8 +211,17 @@ def score_column(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray
         score = (present @ model.folded) / np.sqrt(size)[:, None] + model.bias
         best[first:after] = score.argmax(1)
         top[first:after] = score.max(1)
-        ok[first:after] = has_letters(raw, offsets) & (top[first:after] >= model.min_score) & (present.sum(1) >= model.min_known * size)
-    return best, top, ok
+        known[first:after] = present.sum(1) / size
+        letters[first:after] = has_letters(raw, offsets)
+    return best, top, known, letters
+
+
+def score_column(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Index of the best language, its score, and whether the text is accepted."""
+    if not model.languages:
+        return np.zeros(len(column), np.int64), np.full(len(column), -1.0), np.zeros(len(column), bool)
+    best, top, known, letters = measured(model, column)
+    return best, top, letters & (top >= model.min_score) & (known >= model.min_known)
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:

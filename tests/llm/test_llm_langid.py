@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from oracle import SF
 
 from tessera.llm import langid as L
 
@@ -87,6 +88,27 @@ def test_other_scripts_and_junk_are_rejected(spark, docs) -> None:
     assert kept.columns == df.columns and kept.count() == 2
 
 
+FOREIGN = {
+    "it": "La città era piena di gente che camminava lungo le strade strette mentre il sole scendeva dietro le colline e i bambini giocavano davanti alla chiesa",
+    "pt": "O homem que vive naquela casa não gosta de falar com os vizinhos porque eles fazem muito barulho durante a noite e não respeitam ninguém",
+    "nl": "De kinderen speelden buiten in de tuin toen het plotseling begon te regenen en hun moeder riep dat ze naar binnen moesten komen",
+    "id": "Pemerintah mengumumkan bahwa mereka akan membangun jalan baru di daerah pedesaan untuk membantu para petani membawa hasil panen mereka",
+    "fi": "Kaupungin laidalla oli vanha talo jossa asui yksinäinen mies joka ei koskaan puhunut kenellekään mutta ruokki joka aamu lintuja",
+    "pl": "Wczoraj wieczorem poszedłem do sklepu, żeby kupić chleb i mleko, ale okazało się, że wszystko było już zamknięte",
+    "code": "for (int i = 0; i < n; i++) { if (values[i] > best) { best = values[i]; index = i; } } return index; def main(args): import sys print(len(args))",
+}
+
+
+def test_other_latin_languages_are_rejected(spark) -> None:
+    """With the documents' four languages, and with two."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) > 0")
+    for some in (docs, docs.where("lang in ('en', 'de')")):
+        model = L.fit(some)
+        assert not L.score_column(model, pa.array(list(FOREIGN.values())))[2].any()
+        assert L.keep_accepted(some, model).count() >= 0.98 * some.count()
+        assert model.min_score > 2 / len(model.languages) - 1
+
+
 def test_odd_tables(spark, docs) -> None:
     empty = L.fit(docs.limit(0))
     assert L.identify(docs, empty).count() == 0
