@@ -541,8 +541,13 @@ def url_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH one AS (SELECT url, any_value(html) AS html FROM pages GROUP BY url HAVING count(*) = 1) SELECT url, 'URL: ' || url || chr(10) || chr(10) || {_HTML_SQL} AS content FROM one")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    once = _pages(spark, sf_dir).groupBy("url").agg(F.min("html").alias("html"), F.count("*").alias("n")).where("n = 1")
-    return once.select("url", W.page_file(F.col("url"), W.html_text(F.col("html"))).alias("content"))
+    return _page_files(_pages(spark, sf_dir))
+
+
+def _page_files(pages: DataFrame) -> DataFrame:
+    """A file for each URL: of pages with the same one, that with the smallest page_id (then the smallest html)."""
+    first = pages.groupBy("url").agg(F.min(F.struct(F.col("page_id").isNull(), "page_id", F.col("html").isNull(), "html")).alias("p"))
+    return first.select("url", W.page_file(F.col("url"), W.html_text(F.col("p.html"))).alias("content"))
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -186,3 +186,14 @@ def test_lru() -> None:
     c: LRU[int] = LRU(2)
     c.put("a", 1), c.put("b", 2), c.get("a"), c.put("c", 3)
     assert "b" not in c and c.get("a") == 1 and len(c) == 2 and c.hits == 2
+
+
+def test_page_files_of_repeated_urls(spark, tmp_path) -> None:
+    """Pages with one URL, the same or fetched again, give one file, that of the smallest page_id."""
+    from tessera import catalog
+
+    rows = [(3, "http://a/", "<p>new</p>"), (1, "http://a/", "<p>old</p>"), (2, "http://b/", "<p>b</p>"), (2, "http://b/", "<p>b</p>"), (4, "http://c/", "<p>c</p>"), (None, "http://a/", "<p>0</p>")]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    got = {r["url"]: r["content"].split() for r in catalog.page_files(spark, str(tmp_path)).collect()}
+    assert got == {u: ["URL:", u, w] for u, w in [("http://a/", "old"), ("http://b/", "b"), ("http://c/", "c")]}
+    assert catalog.page_files(spark, str(tmp_path)).count() == 3
