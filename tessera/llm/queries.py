@@ -46,7 +46,7 @@ def op8_blocked_bloom_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.pairs(table(spark, sf_dir, "documents"))
+    return neardup.linked(table(spark, sf_dir, "documents"))
 
 
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

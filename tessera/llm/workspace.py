@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import shared_dir, written
+from ..workspace import delete, discard, new_path, shared_dir, written
 
-__all__ = ["fresh", "shared_dir", "table", "unit_hash", "written"]
+__all__ = ["delete", "discard", "fresh", "new_path", "row_hash", "shared_dir", "table", "unit_hash", "written"]
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
@@ -21,10 +21,15 @@ def fresh(taken: list[str], *names: str) -> list[str]:
     return out
 
 
-def unit_hash(column, seed: int = 0):
+def unit_hash(column: Column, seed: int = 0) -> Column:
     """A number in [0, 1) that depends on the value alone; null has a value of its own too."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), column), 11) / F.lit(float(1 << 53))
 
 
+def row_hash(*columns: str) -> Column:
+    """A hash of the columns' values.  With doc_id and text it tells rows apart whose doc_id is null or repeated."""
+    return F.xxhash64(*columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
