@@ -5,37 +5,44 @@ lengths still available, held as one bit set (bit s: some combination adds up to
 s), finds the combination that leaves the least slack, which is taken out.  The
 program ends early only when the slack is zero.
 
-Documents are packed within shards of about ``shard_documents`` by hash of
-doc_id; only (doc_id, tokens) is shuffled.  The slack lost at a shard's end is at
-most a bin or so.  A document longer than a bin is cut: its full pieces are bins
-of their own, its remainder is packed like a document.  Tokens are as in mixing.
+The lengths available are those of the whole table: below the capacity there are no
+more different ones than its tokens, so that their histogram is all the program
+needs, whatever the number of documents.  It sees a length by its count up to what
+fits in a bin; as long as no such count changes the next bin comes out like the last,
+and a whole run of equal bins is taken at once.  The plan that results says which
+bins the n-th document of a length goes to; documents are numbered within
+their length over sorted ranges, of which (doc_id, tokens) alone is shuffled.
+
+A document longer than a bin is cut: its full pieces are bins of their own (f...), its
+remainder is packed like a document (b...).  Tokens are as in mixing.
 
 Results in odd cases
   * null or empty text: no tokens, so in no bin and not in the result.
   * null doc_id: packed like any other.  Repeated rows: packed each.
-  * equal lengths: the one of the smaller doc_id (null first) is taken first.
+  * equal remainders: the one of the smaller doc_id (null first) is taken first, then by hash of text.
   * an empty table: an empty result.  Further columns are not read.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import tokens
-
-SCHEMA = "bin string, slot int, doc_id long, piece int, first_token long, tokens long, slack long"
+from .workspace import row_hash, written
 
 
 @dataclass(frozen=True)
 class Params:
     capacity: int = 2048
-    shard_documents: int = 8192
 
 
 def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
@@ -61,59 +68,94 @@ def fullest(lengths: list[int], counts: dict[int, int], room: int) -> list[int]:
     return used
 
 
-def pack(sizes: list[int], capacity: int) -> list[list[int]]:
-    """Bins of lengths; every length is at most the capacity and at least 1."""
-    counts: dict[int, int] = {}
-    for s in sizes:
-        counts[s] = counts.get(s, 0) + 1
+def plan(counts: dict[int, int], capacity: int) -> list[tuple[list[int], int]]:
+    """Runs of equal bins: their lengths, longest first, and how many bins.  Every length is at most the capacity and at least 1."""
+    counts = {s: n for s, n in counts.items() if n}
     lengths = sorted(counts)
-
-    def take(s: int) -> None:
-        counts[s] -= 1
-        if not counts[s]:
-            del lengths[bisect_left(lengths, s)]
-
-    bins = []
+    out = []
     while lengths:
-        used = [lengths[-1]]
-        take(used[0])
-        if used[0] < capacity:
-            more = fullest(lengths, counts, capacity - used[0])
-            for s in more:
-                take(s)
-            used += more
-        bins.append(used)
-    return bins
-
-
-def _shard(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
-    name = int(rows["shard"].iloc[0])
-    rows = rows.sort_values(["tokens", "doc_id"], na_position="first", kind="stable")
-    whole, rest = np.divmod(rows["tokens"].to_numpy(), capacity)
-    out: list[tuple] = []
-    ids = [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
-    waiting: dict[int, list[int]] = {}
-    for i in range(len(ids) - 1, -1, -1):
-        if rest[i]:
-            waiting.setdefault(int(rest[i]), []).append(i)
-    full = 0
-    for i in np.flatnonzero(whole):
-        for piece in range(int(whole[i])):
-            out.append((f"{name}-f{full}", 0, ids[i], piece, piece * capacity, capacity, 0))
-            full += 1
-    for n, used in enumerate(pack([int(r) for r in rest if r], capacity)):
-        slack = capacity - sum(used)
-        for slot, s in enumerate(used):
-            i = waiting[s].pop()
-            out.append((f"{name}-{n}", slot, ids[i], int(whole[i]), int(whole[i]) * capacity, s, slack))
-    made = pd.DataFrame(out, columns=["bin", "slot", "doc_id", "piece", "first_token", "tokens", "slack"])
-    made["doc_id"] = pd.array([x[2] for x in out], dtype="Int64")
-    return made
+        longest = lengths[-1]
+        room, times = capacity - longest, counts[longest]
+        counts[longest] -= 1
+        used = Counter(fullest(lengths, counts, room) if room else [])
+        used[longest] += 1
+        for s, n in used.items():
+            times = min(times, (counts[s] + (s == longest)) // n)
+            if s <= room:  # the program sees as many as fit
+                times = min(times, max(0, counts[s] - room // s) // n + 1)
+        counts[longest] += 1
+        for s, n in used.items():
+            counts[s] -= n * times
+            if not counts[s]:
+                del lengths[bisect_left(lengths, s)]
+        out.append((sorted(used.elements(), reverse=True), times))
+    return out
+
+
+class Places:
+    """Bin, slot and slack of the n-th document of a length."""
+
+    def __init__(self, runs: list[tuple[list[int], int]], capacity: int) -> None:
+        seen: Counter = Counter()
+        rows, bins = [], 0
+        for lengths, times in runs:
+            slack = capacity - sum(lengths)
+            for s, n in Counter(lengths).items():
+                rows.append((s << 50 | seen[s], bins, n, lengths.index(s), slack))
+                seen[s] += n * times
+            bins += times
+        self.first, self.bin, self.each, self.slot, self.slack = np.array(sorted(rows), np.int64).reshape(-1, 5).T
+
+    def of(self, length: np.ndarray, number: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key = length << 50 | number
+        at = np.searchsorted(self.first, key, side="right") - 1
+        on = key - self.first[at]
+        return self.bin[at] + on // self.each[at], self.slot[at] + on % self.each[at], self.slack[at]
+
+
+def _numbered(sized: DataFrame) -> DataFrame:
+    """(doc_id, tokens, rest, number): each row's place, from 0, among those of its remainder."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, last, held = TaskContext.get().partitionId(), -1, 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            rest = b.column("rest").to_numpy()
+            first = np.flatnonzero(np.concatenate([[True], rest[1:] != rest[:-1]]))
+            size = np.diff(np.append(first, len(rest)))
+            number = np.arange(len(rest)) - np.repeat(first, size)
+            if rest[0] == last:
+                number[: size[0]] += held
+            last, held = int(rest[-1]), int(number[-1]) + 1
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("tokens"), b.column("rest"), pa.array(number), pa.array(np.full(len(rest), part))], ["doc_id", "tokens", "rest", "within", "part"])
+
+    order = ("rest", "doc_id", "hash", "place")
+    ranges = sized.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "tokens", "rest")
+    # written, since the ranges' borders come from a sample and need not be the same when they are made again
+    counted = written(ranges.mapInArrow(count, "doc_id long, tokens long, rest long, within long, part long"), "ranges")
+    sizes = counted.groupBy("rest", "part").agg(F.count("*").alias("n"))  # a remainder more or less for each range
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("rest").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return counted.join(sizes.select("rest", "part", before.alias("before")), ["rest", "part"]).select("doc_id", "tokens", "rest", (F.col("before") + F.col("within")).alias("number"))
 
 
 def bins(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """One row for each piece: (bin, slot, doc_id, piece, first_token, tokens, slack of the bin)."""
     capacity = params.capacity
-    shards = max(1, -(-docs.count() // params.shard_documents))
-    sized = docs.select(F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), F.col("doc_id").cast("long"), tokens().alias("tokens")).where("tokens > 0")
-    return sized.groupBy("shard").applyInPandas(lambda rows: _shard(rows, capacity), SCHEMA)
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), tokens().alias("tokens"), row_hash("text").alias("hash")).where("tokens > 0")
+    sized = written(sized.withColumn("rest", F.col("tokens") % capacity).withColumn("place", F.monotonically_increasing_id()), "sized")
+    counts = {r[0]: r[1] for r in sized.where("rest > 0").groupBy("rest").count().collect()}  # fewer rows than a bin has tokens
+    shared = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity), capacity))
+    numbered = _numbered(sized)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rest, size = b.column("rest").to_numpy(), b.column("tokens").to_numpy()
+            at, slot, slack = shared.value.of(rest, b.column("number").to_numpy()) if len(rest) else (rest, rest, rest)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(slot.astype(np.int32)), b.column("doc_id"), pa.array((size // capacity).astype(np.int32)), pa.array(size - rest), pa.array(rest), pa.array(slack)], ["bin", "slot", "doc_id", "piece", "first_token", "tokens", "slack"])
+
+    packed = numbered.where("rest > 0").select("doc_id", "tokens", "rest", "number").mapInArrow(place, "bin long, slot int, doc_id long, piece int, first_token long, tokens long, slack long")
+    packed = packed.withColumn("bin", F.concat(F.lit("b"), F.col("bin").cast("string")))
+    pieces = numbered.where(F.col("tokens") >= capacity).withColumn("piece", F.explode(F.sequence(F.lit(0), (F.floor(F.col("tokens") / capacity) - 1).cast("int"))))
+    full = pieces.select(F.concat_ws("-", F.lit("f"), "rest", "number", "piece").alias("bin"), F.lit(0).alias("slot"), "doc_id", "piece", (F.col("piece").cast("long") * capacity).alias("first_token"), F.lit(capacity).cast("long").alias("tokens"), F.lit(0).cast("long").alias("slack"))
+    return packed.unionByName(full)
