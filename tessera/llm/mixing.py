@@ -11,10 +11,13 @@ document of t mean lengths; the dual variables a, b minimise the convex
 Newton's method solves it.  The documents enter by the table of (source,
 language, tokens, count) alone, which is aggregated once and written; every
 Newton evaluation is one distributed aggregation of it by (source, language),
-from which the driver assembles gradient and Hessian (their size depends on the
-number of sources and languages, not of documents).  Rates become copies by
-rounding up with the fraction's probability, drawn from a hash of doc_id, so
-that no shuffle and no order of rows is involved.
+from which the driver assembles gradient and Hessian.  The Hessian's part for sources
+is diagonal, so that they are eliminated and only a system of the size of the
+languages is solved: the driver holds a row for each (source, language) that occurs
+and a square of languages, nothing that depends on the number of documents.  Rates become copies by
+rounding up with the fraction's probability, drawn from a hash of the row (doc_id and
+text), so that no shuffle and no order of rows is involved; only where equal rows
+occur is the row's place in the table drawn from too.
 
 A token is a piece of text between single spaces or line breaks: their number plus one.
 
@@ -24,7 +27,7 @@ Results in odd cases
   * a source with no tokens: nothing to be weighted, its documents keep rate 1.
   * targets for sources that don't occur: left out, the others scaled up; sources
     without a given target: keep their share of the rest.
-  * equal documents: equal rates; rows with one doc_id: equal copies.
+  * equal documents: equal rates.  Null or repeated doc_id: each row is drawn for by itself, also where its text is repeated.
   * targets that no rates reach (a language that occurs in one source only may
     contradict it): the damped iteration stops at the nearest it found.
   * an empty table: an empty result.  Further columns pass through ``apply_copies``.
@@ -39,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import fresh, unit_hash, written
+from .workspace import fresh, row_hash, unit_hash, written
 
 #: Rows up to which the table of exponents is sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -78,36 +81,47 @@ def solve(cells: list[tuple], evaluate, mean: float, params: Params) -> tuple[np
 
     cells: (source, language, tokens) with tokens above zero.  evaluate(exponents): for each cell, sums of w, w t and w t^2.
     """
-    sources = sorted({c[0] for c in cells}, key=lambda x: (x is not None, x))
-    langs = sorted({c[1] for c in cells}, key=lambda x: (x is not None, x))
-    a = np.zeros((len(cells), len(sources) + len(langs)))
-    for i, (s, l, _) in enumerate(cells):
-        a[i, sources.index(s)] = a[i, len(sources) + langs.index(l)] = 1
+    index = lambda at: {x: i for i, x in enumerate(sorted({c[at] for c in cells}, key=lambda x: (x is not None, x)))}
+    sources, langs = index(0), index(1)
+    own_s, own_l = np.array([sources[c[0]] for c in cells]), np.array([langs[c[1]] for c in cells])
+    n_s, n_l = len(sources), len(langs)
+    up = lambda x: np.concatenate([np.bincount(own_s, x, n_s), np.bincount(own_l, x, n_l)])
+    down = lambda x: x[own_s] + x[n_s + own_l]
     amount = np.array([c[2] for c in cells]) / mean
-    by_source = {s: float(a[:, j] @ amount) for j, s in enumerate(sources)}
-    share = target_shares(by_source, params)
-    goal = np.concatenate([[share[s] * amount.sum() for s in sources], a[:, len(sources) :].T @ amount])
-    dual = np.zeros(a.shape[1])
+    by_source = np.bincount(own_s, amount, n_s)
+    share = target_shares({s: float(by_source[j]) for s, j in sources.items()}, params)
+    goal = np.concatenate([[share[s] * amount.sum() for s in sources], np.bincount(own_l, amount, n_l)])
+
+    def newton(curve: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        """The step, with the sources eliminated.  Adding to all sources what is taken from all languages changes nothing: of all solutions the least."""
+        d = np.bincount(own_s, curve, n_s)
+        d = d + 1e-12 * d.sum()
+        cross = np.zeros((n_l, n_s))
+        np.add.at(cross, (own_l, own_s), curve)
+        square = np.diag(np.bincount(own_l, curve, n_l)) - (cross / d) @ cross.T
+        at_l = np.linalg.lstsq(square, slope[n_s:] - cross @ (slope[:n_s] / d), rcond=1e-10)[0]
+        return -np.concatenate([(slope[:n_s] - cross.T @ at_l) / d, at_l])
+
+    dual = np.zeros(n_s + n_l)
     value = lambda sums, x: sums[:, 0].sum() - x @ goal
-    sums = evaluate(a @ dual)
+    sums = evaluate(down(dual))
     now = value(sums, dual)
     for _ in range(params.most_iterations):
-        slope = a.T @ sums[:, 1] - goal
+        slope = up(sums[:, 1]) - goal
         if np.abs(slope).max() <= params.tolerance * amount.sum():
             break
-        curve = a.T @ (sums[:, 2][:, None] * a)
-        step = -np.linalg.lstsq(curve + 1e-12 * np.trace(curve) * np.eye(len(dual)), slope, rcond=None)[0]
-        size, moved = min(1.0, 2.0 / max(1e-9, np.abs(a @ step).max())), False
+        step = newton(sums[:, 2], slope)
+        size, moved = min(1.0, 2.0 / max(1e-9, np.abs(down(step)).max())), False
         while size > 1e-6:
             trial = dual + size * step
-            got = evaluate(a @ trial)
+            got = evaluate(down(trial))
             if np.isfinite(got).all() and value(got, trial) <= now + 1e-4 * size * (slope @ step):
                 dual, sums, now, moved = trial, got, value(got, trial), True
                 break
             size /= 2
         if not moved:
             break
-    return dual, [(c[0], c[1], float(x) / mean) for c, x in zip(cells, a @ dual)]
+    return dual, [(c[0], c[1], float(x) / mean) for c, x in zip(cells, down(dual))]
 
 
 def exponents(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -144,24 +158,28 @@ def with_exponent(rows: DataFrame, exponent: DataFrame, n: int, source: str, lan
     return rows.join(side, rows[source].cast("string").eqNullSafe(side[s]) & rows[lang].cast("string").eqNullSafe(side[l]), "left").drop(s, l)
 
 
-def _copies(rate: Column, doc_id: Column, seed: int) -> Column:
-    return F.floor(rate + unit_hash(doc_id, seed)).cast("int")
+def _copies(rate: Column, draw: Column) -> Column:
+    return F.floor(rate + draw).cast("int")
 
 
-def _rated(docs: DataFrame, params: Params) -> tuple[DataFrame, Column]:
+def _rated(docs: DataFrame, params: Params) -> tuple[DataFrame, Column, str]:
+    """The documents with their exponent and a column of draws, the rate, and the draws' name."""
     found = exponents(docs, params)
-    name = fresh(docs.columns, "__exponent")[0]
-    return with_exponent(docs, found, found.count(), "source", "lang", name), F.exp(F.coalesce(name, F.lit(0.0)) * tokens())
+    name, draw = fresh(docs.columns, "__exponent", "__draw")
+    key = row_hash("doc_id", "text")
+    repeated = not docs.groupBy(key).count().where("count > 1").isEmpty()
+    drawn = docs.withColumn(draw, unit_hash(F.struct(key, F.monotonically_increasing_id()) if repeated else key, params.seed))
+    return with_exponent(drawn, found, found.count(), "source", "lang", name), F.exp(F.coalesce(name, F.lit(0.0)) * tokens()), draw
 
 
 def rates(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """(doc_id, source, tokens, rate, copies) of every document."""
-    rated, rate = _rated(docs.select("doc_id", "source", "lang", "text"), params)
-    return rated.select("doc_id", "source", tokens().alias("tokens"), F.round(rate, 6).alias("rate"), _copies(rate, F.col("doc_id"), params.seed).alias("copies"))
+    rated, rate, draw = _rated(docs.select("doc_id", "source", "lang", "text"), params)
+    return rated.select("doc_id", "source", tokens().alias("tokens"), F.round(rate, 6).alias("rate"), _copies(rate, F.col(draw)).alias("copies"))
 
 
 def apply_copies(docs: DataFrame, params: Params = Params()) -> DataFrame:
     """Every document as many times as it has copies, with all its columns."""
-    rated, rate = _rated(docs, params)
-    repeated = rated.withColumn(fresh(rated.columns, "__copy")[0], F.explode(F.array_repeat(F.lit(0), _copies(rate, F.col("doc_id"), params.seed))))
+    rated, rate, draw = _rated(docs, params)
+    repeated = rated.withColumn(fresh(rated.columns, "__copy")[0], F.explode(F.array_repeat(F.lit(0), _copies(rate, F.col(draw)))))
     return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
