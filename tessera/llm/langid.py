@@ -6,7 +6,8 @@ the product of their numbers of distinct n-grams.  Landmark texts give a
 Nyström map; a ridge regression for each language against the rest is fitted
 in that space.  Because the kernel is linear in the presence vector, landmarks,
 Nyström factor and ridge weights fold into one matrix, and a batch of
-documents is scored by one product: presence x folded, scaled by row.
+documents is scored by one product: presence x folded, scaled by row.  The presence
+matrix is sparse and never made: its product is a sum of ``folded``'s rows by document.
 
 ``fit`` sets what a text must reach.  The scores of L languages add up to 2 - L,
 so that the best is never below 2 / L - 1.  Every fifth row of the sample is held
@@ -23,7 +24,8 @@ Results in odd cases
     the least known share (another script or language): rejected.
   * fewer than ``least_held`` held-out rows: ``min_score`` and ``min_known`` are the limits.
   * two languages with equal scores: the first in alphabetical order.
-  * null ``doc_id``: classified like any other row.  Repeated rows: each row.
+  * null ``doc_id``: classified like any other row.  Repeated rows: each row.  The sample is
+    drawn by a hash of doc_id and text, and takes equal rows once, so that neither empties or floods it.
   * ``lang`` null in the labelled rows: such rows are not used for the fit.
   * no labelled row at all (an empty table): every text is rejected.
   * further columns, whatever their names, pass through ``keep_accepted``.
@@ -40,7 +42,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import runs
-from .workspace import unit_hash
+from .workspace import row_hash, unit_hash
 
 _FOLD = np.arange(256, dtype=np.uint8)
 for _i in range(128):
@@ -113,13 +115,31 @@ def has_letters(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return seen[offsets[1:]] > seen[offsets[:-1]]
 
 
-def _matrix(of: np.ndarray, code: np.ndarray, n: int, grams: np.ndarray) -> np.ndarray:
-    out = np.zeros((n, len(grams)), np.float32)
-    if len(code) and len(grams):
-        at = np.minimum(np.searchsorted(grams, code), len(grams) - 1)
-        hit = grams[at] == code
-        out[of[hit], at[hit]] = 1
-    return out
+class Landmarks:
+    """The landmarks' presence vectors by n-gram, so that only what a text shares with them is touched."""
+
+    def __init__(self, codes: list[np.ndarray]) -> None:
+        self.n = len(codes)
+        mark, code = np.repeat(np.arange(self.n), [len(c) for c in codes]), np.concatenate(codes)
+        self.grams, self.gram = np.unique(code, return_inverse=True)
+        order = np.argsort(self.gram, kind="stable")
+        self.gram, self.mark = self.gram[order], mark[order]
+        self.start = np.searchsorted(self.gram, np.arange(len(self.grams) + 1))
+
+    def shared(self, codes: list[np.ndarray]) -> np.ndarray:
+        """(texts x landmarks): how many n-grams both have."""
+        out = np.zeros((len(codes), self.n))
+        for i, code in enumerate(codes):
+            at = np.minimum(np.searchsorted(self.grams, code), len(self.grams) - 1)
+            at = at[self.grams[at] == code]
+            size = self.start[at + 1] - self.start[at]
+            flat = np.repeat(self.start[at] - np.cumsum(size) + size, size) + np.arange(size.sum())
+            out[i] = np.bincount(self.mark[flat], minlength=self.n)
+        return out
+
+    def folded(self, by_mark: np.ndarray) -> np.ndarray:
+        """(n-grams x columns): sums over the landmarks that have the n-gram."""
+        return np.stack([np.bincount(self.gram, c[self.mark], len(self.grams)) for c in by_mark.T], 1)
 
 
 def texts_presence(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray]:
@@ -145,36 +165,29 @@ def fit_rows(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= params.landmarks_per_language:
             landmarks.append(i)
-    grams = np.unique(np.concatenate([codes[i] for i in landmarks]))
-    root_size = np.sqrt(size)[:, None].astype(np.float32)
-
-    def features(some: list[int]) -> np.ndarray:
-        of = np.repeat(np.arange(len(some)), [len(codes[i]) for i in some])
-        return (_matrix(of, np.concatenate([codes[i] for i in some]), len(some), grams) / root_size[some]).astype(float)
-
-    z = features(landmarks)
-    values, vectors = np.linalg.eigh(z @ z.T)
+    marks = Landmarks([codes[i] for i in landmarks])
+    kernel = marks.shared(codes) / np.sqrt(size[:, None] * size[landmarks])
+    values, vectors = np.linalg.eigh(kernel[landmarks])
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2), up to a rotation
-    every = list(range(len(rows)))
-    phi = np.concatenate([features(every[at : at + 128]) @ z.T for at in range(0, len(rows), 128)]) @ root  # in blocks, to spare the driver's memory
+    phi = kernel @ root
     y = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own, _ in rows])
     mean, bias = phi.mean(0), y.mean(0)
     centred = phi - mean
     weights = np.linalg.solve(centred.T @ centred + params.ridge * len(rows) * np.eye(phi.shape[1]) / phi.shape[1], centred.T @ (y - bias))
-    folded = z.T @ (root @ weights)
-    return Model(languages, grams, folded.astype(np.float32), bias - mean @ weights, params.min_score, params.min_known)
+    folded = marks.folded((root @ weights) / np.sqrt(size[landmarks])[:, None])
+    return Model(languages, marks.grams, folded.astype(np.float32), bias - mean @ weights, params.min_score, params.min_known)
 
 
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
-    """Fit on a bounded sample of the labelled rows: those of each language with the least hash of doc_id."""
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = {r[0]: r[1] for r in docs.where(F.col("lang").isNotNull()).groupBy("lang").count().collect()}
+    """Fit on a bounded sample of the labelled rows: those of each language with the least hash."""
+    order = unit_hash(row_hash("doc_id", "text"), params.seed)
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", order.alias("o"))
+    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("o")).collect()}
     if not counts:
         return fit_rows([], params)
-    order = unit_hash(F.col("doc_id"), params.seed)
     share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * (params.train_per_language + 20) / n))) for k, n in sorted(counts.items())])
-    rows = labelled.where(order < share).select("lang", "text", order.alias("o")).toArrow().to_pylist()
+    rows = labelled.where(F.col("o") < share).groupBy("lang", "o").agg(F.min("text").alias("text")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     left = dict.fromkeys(counts, params.train_per_language)
     chosen = []
@@ -207,11 +220,13 @@ def measured(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np
     for first, after, raw, offsets in runs(column):
         of, code = presence(raw, offsets)
         size = np.maximum(np.bincount(of, minlength=after - first), 1)
-        present = _matrix(of, code, after - first, model.grams)
-        score = (present @ model.folded) / np.sqrt(size)[:, None] + model.bias
+        at = np.minimum(np.searchsorted(model.grams, code), len(model.grams) - 1)
+        hit = model.grams[at] == code
+        of, at = of[hit], at[hit]
+        score = np.stack([np.bincount(of, column_[at], after - first) for column_ in model.folded.T], 1) / np.sqrt(size)[:, None] + model.bias
         best[first:after] = score.argmax(1)
         top[first:after] = score.max(1)
-        known[first:after] = present.sum(1) / size
+        known[first:after] = np.bincount(of, minlength=after - first) / size
         letters[first:after] = has_letters(raw, offsets)
     return best, top, known, letters
 

@@ -109,6 +109,32 @@ def test_other_latin_languages_are_rejected(spark) -> None:
         assert model.min_score > 2 / len(model.languages) - 1
 
 
+@pytest.mark.parametrize("ids", ["null", "one", "repeated rows"])
+def test_rows_without_an_id_of_their_own(spark, ids: str) -> None:
+    """Thousands of rows with null or constant doc_id, or of one text: the sample is neither empty nor flooded."""
+    rows = [(None if ids == "null" else 7, t, lang) for lang, t in _rows(3000, 6)]
+    if ids == "repeated rows":
+        rows += [(7, "the water and the house where the river", "aa")] * 5000 + [(7, "", "bb"), (7, None, "cc")] * 3000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = L.fit(df)
+    assert model.languages == ("aa", "bb", "cc")
+    texts = sum(1 for r in rows if r[1])
+    assert L.keep_accepted(df, model).count() >= 0.95 * texts
+
+
+def test_scoring_needs_no_dense_matrix() -> None:
+    """Ten thousand short texts against 200,000 n-grams in less memory than a matrix of them would take (8 GB)."""
+    import tracemalloc
+
+    grams = np.arange(200_000, dtype=np.uint64) + np.uint64(3 << 24)
+    rng = np.random.default_rng(0)
+    model = L.Model(("aa", "bb", "cc"), grams, rng.normal(size=(len(grams), 3)).astype(np.float32), np.zeros(3), -9.0, 0.0)
+    tracemalloc.start()
+    L.score_column(model, pa.array(["the river and stone"] * 10_000))
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 def test_odd_tables(spark, docs) -> None:
     empty = L.fit(docs.limit(0))
     assert L.identify(docs, empty).count() == 0
