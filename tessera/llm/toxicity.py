@@ -1,7 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
 Fit, on a bounded sample of labelled documents: for each word, and for each
-four-byte word beginning, the log-odds of occurring in a toxic rather than a
+four-letter word beginning, the log-odds of occurring in a toxic rather than a
 clean document, with a Dirichlet prior whose mean is the pooled rate; a token
 scores its log-odds less ``z`` standard errors, from ``least_score`` up (of its own
 score and its beginning's, a word takes the larger).  Every other token costs
@@ -39,7 +39,7 @@ from .shingles import signatures
 from .textbytes import Hasher, HashTable, runs, word_spans
 from .workspace import unit_hash
 
-_STEM = 4  # bytes of a word's beginning
+_STEM = 4  # letters of a word's beginning
 
 
 @dataclass(frozen=True)
@@ -71,7 +71,10 @@ def _tokens(raw: np.ndarray, offsets: np.ndarray, hasher: Hasher) -> tuple[np.nd
     start, end, first = word_spans(raw, offsets)
     sums = hasher.prefix(raw)
     words = hasher.spans(sums, start, end)
-    stems = np.where(end - start >= _STEM, ~hasher.spans(sums, start, np.minimum(start + _STEM, len(raw))), np.uint64(0))
+    begins = (raw & 0xC0) != 0x80  # a letter's first byte
+    letter = np.concatenate([[0], np.cumsum(begins)])  # letters before each place
+    place = np.append(np.flatnonzero(begins), np.full(_STEM + 1, len(raw)))
+    stems = np.where(letter[end] - letter[start] >= _STEM, ~hasher.spans(sums, start, place[letter[start] + _STEM]), np.uint64(0))
     return words, stems, first
 
 
@@ -160,27 +163,34 @@ def _scale(values: np.ndarray, rate: float, drift: float, lam: float, seed: int)
 def maximal_segments(score: list[float], at: list[int], drift: float) -> list[tuple[int, int, float]]:
     """All maximal-scoring segments, in linear time.  Tokens between the scoring ones (at positions ``at``) cost ``drift`` each.
 
+    Candidates are kept with a pointer to the nearest one before them that begins lower, so that
+    the search for it never looks at a candidate twice; where there is none, all before are final.
     Returns (first scoring token, last scoring token, segment score) in order of position.
     """
-    kept: list[list[float]] = []  # first, last, sum before, sum after
+    out: list[tuple[int, int, float]] = []
+    kept: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum after, pointer
     total = 0.0
     previous = None
     for i, x in enumerate(score):
         if previous is not None:
             total -= drift * (at[i] - previous - 1)
         previous = at[i]
-        new = [i, i, total, total + x]
-        total += x
+        first, before, total = i, total, total + x
+        j = len(kept) - 1
         while True:
-            j = len(kept) - 1
-            while j >= 0 and kept[j][2] >= new[2]:
-                j -= 1
-            if j < 0 or kept[j][3] >= new[3]:
-                kept.append(new)
+            while j >= 0 and kept[j][2] >= before:
+                j = kept[j][4]
+            if j < 0:
+                out += [(a, b, r - l) for a, b, l, r, _ in kept]
+                kept.clear()
                 break
-            new = [kept[j][0], new[1], kept[j][2], new[3]]
+            if kept[j][3] >= total:
+                break
+            first, _, before, _, back = kept[j]
             del kept[j:]
-    return [(int(a), int(b), r - l) for a, b, l, r in kept]
+            j = back
+        kept.append((first, i, before, total, j))
+    return out + [(a, b, r - l) for a, b, l, r, _ in kept]
 
 
 def sum_p(segments: list[float], words: int, lam: float, k: float) -> float:
@@ -238,7 +248,9 @@ def fit(docs: DataFrame, labels: DataFrame, params: Params = Params()) -> Model:
     order = unit_hash(F.col("doc_id"), params.seed)
     # of bounded size, so that no text is shuffled to be joined with it
     picked = known.where(order < F.when(F.col("toxic") > 0, shares[1]).otherwise(shares[0]))
-    rows = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("toxic", "text", order.alias("o")).toArrow().to_pylist()
+    texts = docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+    # one text for each doc_id, however often it is repeated: the sample is bounded by the labels' number
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("toxic", "text", order.alias("o")).toArrow().to_pylist()
     rows.sort(key=lambda r: (r["o"], r["text"]))
     of = lambda kind, most: [r["text"] for r in rows if int(r["toxic"] > 0) == kind][:most]
     return fit_texts(of(1, params.toxic_documents), of(0, params.clean_documents), params)

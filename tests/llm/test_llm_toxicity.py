@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import random
 
 import pyarrow as pa
@@ -35,6 +36,84 @@ def test_segments_against_definition() -> None:
         assert got == [(a, b, round(sum(line[a : b + 1]), 6)) for a, b in direct(line)]
 
 
+def test_segments_in_linear_time() -> None:
+    """Of tokens far apart, close together, and in long climbs: ten times the tokens, about ten times the time."""
+    import time
+
+    def took(n: int, gap: int, gain: list[float]) -> float:
+        began = time.process_time()
+        found = T.maximal_segments(gain * (n // len(gain)), list(range(0, n * gap, gap)), 0.5)
+        assert found
+        return time.process_time() - began
+
+    for gap, gain in ((50, [3.0]), (2, [3.0]), (7, [3.0]), (7, [3.0, 2.9, 3.2, 2.5]), (8, [1.0, 9.0])):
+        small = min(took(100_000, gap, gain) for _ in range(2))
+        assert took(1_000_000, gap, gain) < 25 * small
+
+
+def test_log_odds_with_dirichlet_prior() -> None:
+    """Of presence in documents, less the standard error, from counts made with sets."""
+    toxic = [f"vrenk skoll word{i} other{i}" for i in range(30)] + [f"quiet word{i} lines{i}" for i in range(10)]
+    clean = [f"quiet harmless skoll word{i} lines{i} more{i}" for i in range(5)] + [f"calm harmless water{i} lines{i} more{i}" for i in range(85)]
+    p = T.Params(prior_documents=10.0, z=1.0, least_score=-100.0)
+    model = T.fit_texts(toxic, clean, p)
+    hasher = T.Hasher()
+    toxic, clean = T._distinct(toxic, hasher), T._distinct(clean, hasher)
+    n_t, n_c = len(toxic), len(clean)
+    for word in ("vrenk", "skoll", "quiet", "harmless"):
+        raw = T.np.frombuffer(word.encode(), T.np.uint8)
+        key = T._tokens(raw, T.np.array([0, len(raw)]), hasher)[0][0]
+        y_t, y_c = (sum(word in t.split() for t in x) for x in (toxic, clean))
+        found = model.scores[model.keys == key]
+        if not y_t:
+            assert not len(found)
+            continue
+        prior = 10 * (y_t + y_c) / (n_t + n_c)
+        odds = lambda y, n: math.log((y + prior) / (n + 10 - y - prior))  # noqa: E731, B023
+        assert found[0] == pytest.approx(odds(y_t, n_t) - odds(y_c, n_c) - math.sqrt(1 / (y_t + prior) + 1 / (y_c + prior)))
+
+
+def test_beginnings_are_letters() -> None:
+    hasher = T.Hasher()
+    of = lambda t: T._tokens(T.np.frombuffer(t.encode(), T.np.uint8), T.np.array([0, len(t.encode())]), hasher)[1].tolist()
+    assert of("éééa ééé éééaxx éééb") == [of("éééa")[0], 0, of("éééa")[0], of("éééb")[0]] and of("éééa")[0] != of("éééb")[0]
+    assert of("straßen")[0] == of("strahl")[0] and of("漢字漢字漢")[0] == of("漢字漢字")[0] != 0
+
+
+def test_lambda_and_k() -> None:
+    """lambda: the characteristic equation; K: with it, the law fits the best segments of simulated clean texts."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    values, rate, drift = np.array([2.0, 3.0, 5.0]), 0.01, 0.08
+    lam = T._root(values, rate, drift)
+    assert rate * np.exp(lam * values).mean() + (1 - rate) * math.exp(-lam * drift) == pytest.approx(1, abs=1e-9) and lam > 0
+    k = T._scale(values, rate, drift, lam, 5)
+    tops, n = [], 20_000
+    for _ in range(150):
+        line = np.where(rng.random(n) < rate, rng.choice(values, n), -drift)
+        sums = np.concatenate([[0], np.cumsum(line)])
+        tops.append((sums - np.minimum.accumulate(sums)).max())
+    level = float(np.median(tops))
+    assert 1 - math.exp(-k * n * math.exp(-lam * level)) == pytest.approx(0.5, abs=0.15)
+
+
+def test_sum_statistics() -> None:
+    """The r best segments' sum against simulation of their law, halved for every r tried."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    lam, k, words = 0.7, 0.2, 1000
+    base = math.log(k * words)
+    assert T.sum_p([], words, lam, k) == 1
+    for x in (2.0, 5.0):
+        assert T.sum_p([(x + base) / lam], words, lam, k) == pytest.approx(2 * (1 - math.exp(-math.exp(-x))))
+    arrivals = -np.log(np.cumsum(rng.exponential(size=(200_000, 2)), axis=1))  # the two best of a text, in normal form
+    t = 7.0
+    share = (arrivals.sum(1) >= t).mean()
+    assert T.sum_p([(t / 2 + base) / lam] * 2, words, lam, k) == pytest.approx(min(4 * share, 2 * (1 - math.exp(-math.exp(-t / 2)))), rel=0.35)
+
+
 CLEAN = "river stone winter garden letter window table candle morning harbour silver forest bridge market paper yellow".split()
 TOXIC = "vrenk skoll grubnar zlatch mordug".split()
 
@@ -89,6 +168,9 @@ def test_odd_rows(spark, tables) -> None:
     kept = T.keep_clean(df, model)
     assert kept.columns == df.columns and {1, 2, 3} <= {r["doc_id"] for r in kept.collect()} and 5 not in {r["doc_id"] for r in kept.collect()}
     assert T.passages(df.limit(0), model).count() == 0
+    many = docs.unionByName(docs.where("doc_id = 0").crossJoin(spark.range(3000)).selectExpr("doc_id", "concat(text, ' vrenk ', id) text"))
+    again = T.fit(many, labels)  # one labelled doc_id, thousands of texts: one of them is fitted on
+    assert len(again.keys) and abs(len(again.keys) - len(T.fit(docs, labels).keys)) < 20
     none = T.fit(docs, labels.where("toxic = 0"))
     assert T.passages(docs, none).count() == 0 and T.keep_clean(docs, none).count() == 1600
     assert T.passages(docs, T.fit(docs.limit(0), labels.limit(0))).count() == 0
