@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import bitsliced, chat, langid, mixing, neardup, packing, perplexity, toxicity, urlfilter, warc
 from .workspace import table
@@ -23,8 +24,8 @@ def op3_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's record; the version blocks' records depend on how pages fell into archives and are left out."""
-    return warc.convert(warc.archives(table(spark, sf_dir, "pages"))).where("warc_type <> 'warcinfo'")
+    """Every record of every page's archive, with its bytes (text here, as the pages are)."""
+    return warc.convert(warc.archives(table(spark, sf_dir, "pages"))).withColumn("record", F.col("record").cast("string"))
 
 
 def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import json
 
@@ -26,39 +27,89 @@ def test_version_1() -> None:
     assert rows[1]["warc_ip_address"] == "1.2.3.4" and rows[2]["content_type"] == "text/dns" and all(r["note"] is None for r in rows)
 
 
+@pytest.mark.parametrize("compressed", [False, True])
 @pytest.mark.parametrize("version", [1, 2])
-def test_round_trip(version: int) -> None:
+def test_round_trip(version: int, compressed: bool) -> None:
     records = [(f"http://h/{i}", "1.1.1.1", "20040506070809", "text/html", bytes([10, i % 256]) * i) for i in range(40)]
-    heads = list(W.read(W.write_arc("n.arc", version, records)))
+    heads = list(W.read(W.write_arc("n.arc", version, records, compressed)))
     assert heads[0][0]["url"] == "filedesc://n.arc"
-    assert [(h["url"], h["ip"], h["date"], h["mime"], block) for h, block, cut in heads[1:] if not cut] == records
+    assert [(h["url"], h["ip"], h["date"], h["mime"], block) for h, block, wrong in heads[1:] if not wrong] == records
     assert [len(h) for h, _, _ in heads[1:]] == [len(W.FIELDS[version])] * 40
 
 
-def test_warc_bytes_hold_the_block() -> None:
-    head, block, cut = list(W.read(_v1()))[1]
-    raw = W.warc_bytes(head, block, cut)
-    top, _, rest = raw.partition(b"\r\n\r\n")
-    fields = dict(x.split(": ", 1) for x in top.decode().split("\r\n")[1:])
-    assert rest[: int(fields["Content-Length"])] == HTTP and fields["WARC-Target-URI"] == "http://h/a" and rest.endswith(b"\r\n\r\n")
+def _parsed(raw: bytes) -> list[tuple[dict[str, str], bytes]]:
+    """The records of a WARC file, by their lengths."""
+    out, at = [], 0
+    while at < len(raw):
+        end = raw.index(b"\r\n\r\n", at)
+        first, *lines = raw[at:end].decode().split("\r\n")
+        fields = dict(x.split(": ", 1) for x in lines)
+        at = end + 4 + int(fields["Content-Length"])
+        out.append((fields, raw[end + 4 : at]))
+        assert first == "WARC/1.0" and raw[at : at + 4] == b"\r\n\r\n"
+        at += 4
+    return out
+
+
+@pytest.mark.parametrize("compression", ["none", "gzip"])
+def test_written_warc_files(spark, tmp_path, compression: str) -> None:
+    """All bytes come back, those that are no text too."""
+    records = [(f"http://h/{i}", "1.1.1.1", "20040506070809", "image/x", bytes(range(256)) * (i % 3) + b"\r\n\r\n\xff\n" * (i % 2)) for i in range(30)]
+    df = spark.createDataFrame([(W.write_arc("n.arc", 1, records[:20]),), (W.write_arc("m.arc", 2, records[20:], True),), (_v1(),)], "archive binary")
+    W.write_warc(W.convert(df), str(tmp_path / "w"), compression)
+    files = [p.read_bytes() for p in (tmp_path / "w").iterdir() if p.name.startswith("part-")]
+    got = [r for f in files for r in _parsed(gzip.decompress(f) if compression == "gzip" else f)]
+    assert sorted((f["WARC-Target-URI"], b) for f, b in got if f["WARC-Type"] == "resource") == sorted((r[0], r[4]) for r in records)
+    assert ("http://h/a", HTTP) in [(f.get("WARC-Target-URI"), b) for f, b in got] and len(got) == 30 + 3 + 2
+    assert all(f["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(b).hexdigest() for f, b in got)
+
+
+def _fields(*r) -> dict:
+    return dict(zip([c.split()[0] for c in W.SCHEMA.split(", ")], W.record(*r)))
+
+
+def test_content_forges_no_records() -> None:
+    """Neither in the block of a record with an odd date, nor after a line that is no header."""
+    body = b"http://evil/ 6.6.6.6 20010203040506 text/html 3\nfoo"
+    data = b"http://h/ 1.2.3.4 - text/html %d\n" % len(body) + body + b"\nhttp://h/2 1.2.3.4 20010203040506 text/html 2\nok\n"
+    got = [_fields(*r) for r in W.read(data)]
+    assert [(r["warc_target_uri"], r["note"], r["content_length"]) for r in got] == [("http://h/", "date", len(body)), ("http://h/2", None, 2)]
+    broken = b"http://h/ 1.2.3.4 20010203040506 text/html x\n" + body
+    got = [_fields(*r) for r in W.read(broken)]
+    assert len(got) == 1 and got[0]["note"] == "header" and got[0]["warc_target_uri"].startswith("urn:arc-unparsed:") and broken in got[0]["record"]
+
+
+def test_damaged_gzip_members() -> None:
+    records = [(f"http://h/{i}", "1.1.1.1", "20040506070809", "t", bytes([65 + i]) * 5000) for i in range(3)]
+    parts = [W.write_arc("n", 1, records[:i], True) for i in range(4)]
+    cut = parts[3][:-9]  # the last member's end is lost
+    got = [_fields(*r) for r in W.read(cut)]
+    assert [r["note"] for r in got] == [None, None, None, "truncated"]
+    torn = bytearray(parts[3])
+    at = len(parts[1]) + 20
+    torn[at : at + 8] = b"\xff" * 8  # within the second record's member
+    got = [_fields(*r) for r in W.read(bytes(torn))]
+    assert got[1]["warc_target_uri"] == "http://h/0" and got[-1]["warc_target_uri"] == "http://h/2" and got[-1]["note"] is None
+    assert all(r["note"] in ("truncated", "header") for r in got[2:-1])
 
 
 def test_damaged_archives(spark) -> None:
-    bad = b"http://h/q 1.2.3.4 20011399000000 text/html 4\nabcd\nno header here\nhttp://h/b c 1.2.3.4 20010203040506 text/plain 99\nshort"
-    rows = [(bad, 1), (None, 2), (b"", 3), (b"no line end", 4), (_v1(), 5), (_v1(), 5), (W.write_arc("l", 1, [("http://l/", "1.1.1.1", "20010203040506", "t", b"x" * 5_000_000)]), 6)]
-    df = spark.createDataFrame(rows, "archive binary, warc_type int")
+    bad = b"http://h/q 1.2.3.4 20011399000000 text/html 4\nabcd\nh/b c 1.2.3.4 20010203040506 text/plain 99\nshort"
+    rows = [(bad, 1), (None, 2), (b"", 3), (b"no line end", 4), (_v1(), 5), (_v1(), 5), (W.write_arc("l", 1, [("http://l/", "1.1.1.1", "20010203040506", "t", b"x" * 5_000_000)]), 6), (b"\n\r\n", 7)]
+    df = spark.createDataFrame(rows, "archive binary, warc_type int").selectExpr("*", "1 record", "2 note")
     got = W.convert(df).collect()
     by = {r["warc_target_uri"]: r for r in got}
     assert by["http://h/q"]["note"] == "date" and by["http://h/q"]["warc_date"] == "1970-01-01T00:00:00Z"
-    assert by["http://h/b c"]["note"] == "truncated" and by["http://h/b c"]["content_length"] == 5 and by["http://h/b c"]["warc_type"] == "resource"
-    assert by["http://l/"]["content_length"] == 5_000_000 and len(got) == 2 + 6 + 2
+    assert by["h/b c"]["note"] == "truncated" and by["h/b c"]["content_length"] == 5 and by["h/b c"]["warc_type"] == "resource"
+    assert by["http://l/"]["content_length"] == 5_000_000 and len(got) == 2 + 1 + 6 + 2
     assert W.convert(df.limit(0)).count() == 0
 
 
 def test_odd_pages(spark) -> None:
-    df = spark.createDataFrame([(1, None, "x"), (2, "http://a/b c", None), (None, "http://n", "y"), (4, "http://n", "")], "page_id long, url string, html string").selectExpr("*", "1 archive")
-    got = {r["warc_target_uri"]: r for r in W.convert(W.archives(df)).where("warc_type <> 'warcinfo'").collect()}
-    assert set(got) == {"http://a/b%20c", "http://n"}
+    df = spark.createDataFrame([(1, None, "x"), (1, "", "x"), (2, "http://a/b c\r\nd", None), (None, "http://n", "y"), (4, "http://n", ""), (4, "http://n", ""), (5, "example.com/a", "z")], "page_id long, url string, html string").selectExpr("*", "1 archive", "2 host")
+    got = [r["warc_target_uri"] for r in W.convert(W.archives(df)).where("warc_type <> 'warcinfo' and warc_target_uri not like 'dns:%'").collect()]
+    assert sorted(got) == ["example.com/a", "http://a/b%20c%0D%0Ad", "http://n", "http://n", "http://n"]
+    assert W.archives(df.limit(0)).count() == 0
 
 
 LAYOUTS = {
