@@ -34,7 +34,7 @@ def op5_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat_schema_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chat.turns(chat.records(table(spark, sf_dir, "conversations"))).select("conv_id", "turn", "role", "text")
+    return chat.turns(chat.records(table(spark, sf_dir, "conversations")))
 
 
 def op7_bit_sliced_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:

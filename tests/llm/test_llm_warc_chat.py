@@ -127,20 +127,41 @@ def test_layouts(spark, layout: str) -> None:
     assert [tuple(r)[1:] for r in H.turns(df).orderBy("turn").collect()] == [(layout, 0, "user", "hi"), (layout, 1, "assistant", "yo")]
 
 
+def test_layouts_with_further_fields(spark) -> None:
+    """Common layouts as they come: with ids, names, metadata of any depth, an input beside the instruction."""
+    two = [(0, "user", "hi"), (1, "assistant", "yo")]
+    rows = {
+        "messages": ({"id": 3, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "assistant", "content": "yo"}], "metadata": {"a": {"b": [{"c": 1}]}}, "source": "s"}, two),
+        "from_value": ({"id": "x1", "conversations": [{"from": "human", "value": "hi", "weight": 1}, {"from": "gpt", "value": "yo"}]}, two),
+        "system_from_value": ({"id": "x1", "system": "be", "conversations": [{"from": "human", "value": "hi"}]}, [(0, "system", "be"), (1, "user", "hi")]),
+        "instruction_input": ({"instruction": "hi", "input": "there", "output": "yo", "category": "q"}, [(0, "user", "hi\n\nthere"), (1, "assistant", "yo")]),
+        "prompt_response": ({"prompt": "hi", "response": "yo", "tags": ["a", "b"]}, two),
+        "speaker": ({"dialog": {"turns": [{"speaker": "User", "utterance": "hi"}, {"speaker": "bot", "utterance": "yo"}]}}, two),
+        "prompt": ({"prompt": "hi", "url": None, "meta": {}}, two[:1]),
+        "unknown": ({"prompt": "hi", "surprise": 1}, [(None, None, json.dumps({"prompt": "hi", "surprise": 1}))]),
+    }
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _) in enumerate(rows.values())], "conv_id long, record string")
+    got: dict = {}
+    for r in H.turns(df).orderBy("conv_id", "turn").collect():
+        got.setdefault(r["layout"], []).append((r["turn"], r["role"], r["text"]))
+    assert got == {k: want for k, (_, want) in rows.items()}
+
+
 def test_odd_records(spark) -> None:
     rows = [(1, None), (2, ""), (3, "{no json"), (4, '{"other": 1}'), (5, '{"messages": []}'), (6, '{"messages": [{"role": "user", "content": null}]}'), (7, '{"prompt": "p", "completion": null}'), (8, '{"messages": [{"role": null, "content": "c"}]}'), (9, json.dumps({"prompt": "x" * 2_000_000})), (None, '{"prompt": "q"}'), (10, '{"messages": [{"role": "Robot", "content": "r"}]}')]
     df = spark.createDataFrame([*rows, rows[-1]], "conv_id long, record string").selectExpr("*", "1 v", "2 list", "3 layout", "4 print")
     got: dict = {}
     for r in H.turns(df).collect():
         got.setdefault(r["conv_id"], []).append((r["layout"], r["turn"], r["role"], r["text"]))
-    assert got[1] == got[2] == got[3] == [("invalid", None, None, None)] and got[4] == got[5] == [("unknown", None, None, None)]
+    assert [got[i] for i in (1, 2, 3)] == [[("invalid", None, None, x)] for x in (None, "", "{no json")]
+    assert [got[i] for i in (4, 5)] == [[("unknown", None, None, x)] for x in ('{"other": 1}', '{"messages": []}')]
     assert got[6] == [("messages", 0, "user", None)] and got[7] == [("prompt_completion", 0, "user", "p")] and got[8] == [("messages", 0, None, "c")]
     assert len(got[9][0][3]) == 2_000_000 and got[None] == [("prompt", 0, "user", "q")] and got[10] == [("messages", 0, "robot", "r")] * 2
     assert H.turns(df.limit(0)).count() == 0
 
 
 def test_records_round_trip_with_nulls(spark) -> None:
-    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, None, "b"), (3, 0, "user", ""), (None, 0, "user", "c"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "t"), (4, 2, "assistant", "t")]
+    rows = [(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, None, "b"), (3, 0, "user", ""), (None, 0, "user", "c"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "t"), (4, 2, "assistant", "t"), (None, 0, "user", "c"), (5, 0, "user", "early"), (5, 600, "assistant", "late"), (17, 0, "user", "q"), (17, 1, "assistant", "a"), (15, 0, "user", "q"), (15, 1, "assistant", "a")]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").selectExpr("*", "1 t", "2 record")
     got = {(r["conv_id"], r["turn"], r["role"], r["text"]) for r in H.turns(H.records(df)).collect()}
-    assert got == {(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, None, "b"), (3, 0, "user", ""), (None, 0, "user", "c"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "t"), (4, 3, "assistant", "t")}
+    assert got == {(1, 0, "user", "a"), (1, 1, "assistant", None), (2, 0, None, "b"), (3, 0, "user", ""), (None, 0, "user", "c"), (4, 0, "system", "s"), (4, 1, "user", "u"), (4, 2, "assistant", "t"), (4, 3, "assistant", "t"), (5, 0, "user", "early"), (5, 0, "assistant", "late"), (17, 0, "user", "q"), (17, 1, "assistant", "a"), (15, 0, "user", "q"), (15, 1, "assistant", "a")}
