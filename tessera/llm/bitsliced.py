@@ -1,6 +1,6 @@
 """Exact top-k search with bit-sliced indexes.
 
-Every row is a query: its k nearest others by cosine similarity.  The unit
+Rows that ask are queries: each one's k nearest others, among all rows, by cosine similarity.  The unit
 vectors are quantised, and an attribute's bits are kept as slices: bitmaps over
 the rows of a block.  A query's weights are quantised too; its scores are the
 sum, by bitmap arithmetic (carry-save full adders over whole slices), of the
@@ -10,8 +10,9 @@ the k-th largest quantised score is found.  Quantisation is off by at most a
 bound that is known from the rounding residuals, so all rows within it of the
 k-th are boundary rows: they, and only they, are resolved by exact scores.
 
-Rows and queries are cut into blocks by hash; each pair of blocks is a task of
-its own, and the blocks' bests are merged by query.
+Rows and queries are cut into blocks by hash, of bounded size and at least as many as
+keep all cores busy; each pair of blocks is a task of its own, and the blocks' bests are
+merged by query.  How they are cut does not change the result.
 
 Results in odd cases
   * null vector, vector with a null or non-finite number, or of length zero: neither query nor neighbour.
@@ -28,9 +29,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .workspace import written
+
 _SCHEMA = "vec_id long, neighbor_id long, score double"
 
 
@@ -39,8 +42,9 @@ class Params:
     k: int = 10
     bits: int = 6
     weight_bits: int = 4
+    #: Most rows and queries of a block.
     rows_per_block: int = 65_536
-    queries_per_block: int = 4_096
+    queries_per_block: int = 16_384
 
 
 def _slices(values: np.ndarray, bits: int) -> np.ndarray:
@@ -157,19 +161,22 @@ def _matrix(t: pa.Table, column: str) -> np.ndarray:
     return np.asarray(flat.flatten().to_numpy(zero_copy_only=False), float).reshape(len(flat), -1)
 
 
-def top_k(vectors: DataFrame, params: Params = Params()) -> DataFrame:
-    """(vec_id, rank, neighbor_id, score): of every vector, the k most similar others."""
+def top_k(vectors: DataFrame, params: Params = Params(), asking: Column | None = None) -> DataFrame:
+    """(vec_id, rank, neighbor_id, score): of every vector that asks (a condition over vec_id; all if it isn't given), the k most similar of all others."""
     x = F.col("embedding").cast("array<double>")
     good = vectors.where(F.col("vec_id").isNotNull() & (F.size("embedding") > 0)).select(F.col("vec_id").cast("long").alias("vec_id"), x.alias("v"))
     good = good.where(~F.exists("v", lambda e: F.coalesce(F.isnan(e) | (F.abs(e) == float("inf")), F.lit(True))))
     good = good.groupBy("vec_id").agg(F.min("v").alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, e: a + e * e))
     unit = good.withColumn("norm", norm).where("norm > 0").select("vec_id", F.size("v").alias("dim"), F.transform("v", lambda e: e / F.col("norm")).alias("u"))
-    n = vectors.count()
-    blocks, askers = max(1, -(-n // params.rows_per_block)), max(1, -(-n // params.queries_per_block))
+    unit = written(unit, "vectors")
+    queries = unit if asking is None else unit.where(asking)
+    n, q = unit.count(), queries.count()
+    blocks = max(1, -(-n // params.rows_per_block))
+    askers = max(1, -(-q // params.queries_per_block), min(-(-q // 64), -(-unit.sparkSession.sparkContext.defaultParallelism // blocks)))
     row_block, query_block = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)), F.pmod(F.xxhash64(F.lit(7), "vec_id"), F.lit(askers))
     rows = unit.select("dim", row_block.alias("b"), F.explode(F.sequence(F.lit(0), F.lit(askers - 1))).alias("q"), "vec_id", "u")
-    asks = unit.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), query_block.alias("q"), "vec_id", "u")
+    asks = queries.select("dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), query_block.alias("q"), "vec_id", "u")
     rows, asks = (t.select("dim", F.col("b").cast("long").alias("b"), F.col("q").cast("long").alias("q"), "vec_id", "u") for t in (rows, asks))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -193,7 +200,7 @@ WITH u AS (
   SELECT vec_id, embedding::DOUBLE[] AS v, sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0),
 s AS (
   SELECT a.vec_id, b.vec_id AS neighbor_id, round(list_inner_product(a.v, b.v) / a.n / b.n, 9) AS sim
-  FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.n > 0 AND b.n > 0),
+  FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE a.vec_id % 20 = 0 AND a.n > 0 AND b.n > 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, neighbor_id) AS INTEGER) AS rank FROM s)
 SELECT vec_id, rank, neighbor_id, sim AS score FROM r WHERE rank <= 10
 """

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tessera.llm import bitsliced as B
 from tessera.llm import urlfilter as U
@@ -49,6 +50,14 @@ def test_against_all_pairs(spark, params) -> None:
     assert got == nearest(rows, params.k)
 
 
+def test_some_ask_all_answer(spark) -> None:
+    rng = np.random.default_rng(2)
+    rows = [(int(i), [float(np.float32(y)) for y in rng.normal(size=8)]) for i in range(120)]
+    params = B.Params(k=4, rows_per_block=50, queries_per_block=3)
+    got = {(*r[:3], round(r[3], 7)) for r in B.top_k(spark.createDataFrame(rows, VEC), params, F.col("vec_id") % 20 == 0).collect()}
+    assert got == {r for r in nearest(rows, 4) if r[0] % 20 == 0}
+
+
 def test_odd_vectors(spark) -> None:
     rows = [(1, [1.0, 0.0]), (2, [1.0, 0.1]), (2, [1.0, 0.1]), (3, [0.0, 0.0]), (4, None), (5, []), (6, [float("nan"), 1.0]), (7, [1.0, None]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, [0.5, 1.0, 0.0]), (10, [float("inf"), 0.0])]
     df = spark.createDataFrame(rows, VEC).selectExpr("*", "1 dim", "2 b", "3 q", "4 v")
@@ -73,8 +82,6 @@ URLS = ["http://www.A.com:80/x/", "https://a.com/x.html#top", "A.com/x?utm_sourc
 
 
 def test_canonical(spark) -> None:
-    from pyspark.sql import functions as F
-
     rows = spark.createDataFrame([(i, u) for i, u in enumerate(URLS)], "i int, url string").orderBy("i")
     got = [r[0] for r in rows.select(U.canonical(F.col("url"))).collect()]
     assert got == [_canonical(u) for u in URLS] and got[0] == got[1] == got[2] == "a.com/x"
