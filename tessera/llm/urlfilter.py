@@ -29,8 +29,8 @@ _SALTS = (0x47B6137B, 0x44974D91, 0x8824AD5B, 0xA2B7289D, 0x705495C7, 0x2DF1424B
 @dataclass(frozen=True)
 class Params:
     bits_per_key: int = 16
-    #: Blocks (of 40 bytes or so, with their number) up to which the filter is sent to every executor.
-    broadcast_blocks: int = 2_000_000
+    #: Blocks up to which the filter is sent to every executor; as a row one takes 72 bytes of numbers, with what a hashed relation adds 150 or so.
+    broadcast_blocks: int = 200_000
 
 
 def _without_endings(path: Column) -> Column:
