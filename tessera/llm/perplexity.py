@@ -8,11 +8,12 @@ interpolated probabilities are aggregations and joins of those tables.  For
 scoring, the model is a sorted array of hashed n-grams with an index by leading
 bits, looked up for whole arrays of text positions.
 
-The arrays are broadcast, behind a check of their size: a model of more than
-``broadcast_entries`` is cut by (language, last byte of the context).  All that a
-position needs, back-off included, is in one part, and log-probabilities add
-up, so each part scores its positions in a pass of its own and the sums are
-added.  The result is the same.
+The arrays are made where the counts are: sorted by hash over ranges and written to the
+shared folder, from where every executor fetches the files; the driver never holds
+them.  A model of more than ``part_entries`` is cut by (language, last two bytes of the
+context).  All that a position needs, back-off included, is in one part, and
+log-probabilities add up, so each part scores its positions in a pass of its own and
+the sums are added.  The result is the same.
 
 Bands: for each language, a document's log-perplexity is compared with the
 median of the long documents; its spread is their median deviation, widened
@@ -25,8 +26,7 @@ or without that many, documents below ``lower`` or above ``upper`` spreads are r
 Results in odd cases
   * null or empty text: nothing to score, rejected.
   * null language: a language of its own, with its own model and bands.
-  * rows with one doc_id and language are one document: their sums are added.
-    Null doc_id: all such rows of a language are one document.
+  * every row is a document, whether its doc_id is null or repeated or not.
   * a language without a document of ``long_bytes``: its median is that of all.
   * a language with no spread at all (one document): nothing is rejected.
   * labels with null or repeated doc_id: left out, and counted once.
@@ -42,11 +42,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+import pyarrow.parquet as pq
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .textbytes import mix64, runs
-from .workspace import written
+from .workspace import discard, new_path, written
 
 ORDER = 5
 _PAD = 10
@@ -58,7 +60,8 @@ class Params:
     upper: float = 6.0
     widening: float = 2.0
     long_bytes: int = 1500
-    broadcast_entries: int = 16_000_000
+    #: Entries (of 12 bytes, and 8 of index) of the model that a Python worker holds at a time.
+    part_entries: int = 16_000_000
     tail: float = 0.002
     least_clean: int = 200
 
@@ -132,7 +135,7 @@ def model_table(docs: DataFrame, languages: list[str | None]) -> DataFrame:
     for n in range(ORDER - 1, 0, -1):
         orders[n] = orders[n + 1].groupBy("l", F.col("g").bitwiseAND(F.lit((1 << 8 * n) - 1)).alias("g")).agg(F.count("*").alias("c"))
         orders[n] = written(orders[n], "ngrams")
-    lower, out = None, []
+    lower, out, done = None, [], [*orders.values()]
     for n in range(1, ORDER + 1):
         t = orders[n]
         seen: dict[int, dict[int, int]] = {}
@@ -149,12 +152,15 @@ def model_table(docs: DataFrame, languages: list[str | None]) -> DataFrame:
         else:
             below = t.withColumn("s", F.col("g").bitwiseAND(F.lit((1 << 8 * (n - 1)) - 1))).join(lower.select("l", F.col("g").alias("s"), F.col("p").alias("q")), ["l", "s"])
         lower = written(below.select("l", "g", (F.greatest(F.col("c") - cut, F.lit(0.0)) / F.col("total") + F.col("back") * F.col("q")).alias("p")), "probabilities")
+        done.append(lower)
         out.append(lower.select(F.lit(n).alias("kind"), "l", "g", F.log("p").alias("v")))
         out.append(left.where("back > 0").select(F.lit(10 + n - 1).alias("kind"), "l", F.col("h").alias("g"), F.log("back").alias("v")))
     table = out[0]
     for t in out[1:]:
         table = table.unionByName(t)
-    return written(table, "model")
+    table = written(table, "model")
+    discard(*done)
+    return table
 
 
 def _key(kind: int, l: np.ndarray, g: np.ndarray) -> np.ndarray:
@@ -165,8 +171,7 @@ class SortedHashes:
     """Values by hash: a sorted array, entered by an index of the hashes' leading bits."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order].astype(np.float32)
+        self.keys, self.values = keys, values
         self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 1))
         self.start = np.searchsorted(self.keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
         self.start = np.append(self.start, len(keys)).astype(np.int32)
@@ -190,14 +195,43 @@ def _kind_code(kind: int) -> int:
     return kind if kind < 10 else kind - 10 + 8 + 6  # 1..5, and 14..18 for contexts
 
 
-def arrays(rows: pa.Table) -> SortedHashes:
-    kind = rows["kind"].to_numpy()
-    l, g, v = rows["l"].to_numpy().astype(np.uint64), rows["g"].to_numpy().astype(np.uint64), rows["v"].to_numpy()
-    keys = np.zeros(len(kind), np.uint64)
-    for k in np.unique(kind):
-        own = kind == k
-        keys[own] = _key(_kind_code(int(k)), l[own], g[own])
-    return SortedHashes(keys, v)
+_FLIP = np.uint64(1 << 63)  # signed numbers in the order of unsigned ones
+
+
+def stored(spark: SparkSession, rows: DataFrame) -> list[str]:
+    """Writes (kind, l, g, v) as arrays sorted by hash; the names of the files, in order, as every executor can fetch them."""
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            kind, l, g = (b.column(c).to_numpy() for c in ("kind", "l", "g"))
+            keys = np.zeros(len(kind), np.uint64)
+            for k in np.unique(kind):
+                own = kind == k
+                keys[own] = _key(_kind_code(int(k)), l[own].astype(np.uint64), g[own].astype(np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array((keys ^ _FLIP).view(np.int64)), b.column("v").cast(pa.float32())], ["k", "v"])
+
+    path = new_path(spark, "arrays")
+    n = max(1, -(-rows.count() // 4_000_000))
+    rows.select("kind", "l", "g", "v").mapInArrow(keyed, "k long, v float").repartitionByRange(n, "k").sortWithinPartitions("k").write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = sorted(f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().endswith(".parquet"))
+    for f in files:
+        spark.sparkContext.addFile(f)
+    return [f.rpartition("/")[2] for f in files]
+
+
+_held: dict[tuple[str, ...], SortedHashes] = {}
+
+
+def fetched(names: list[str]) -> SortedHashes:
+    """The arrays of a part, in a Python worker; one part at a time stays for the worker's next tasks."""
+    key = tuple(names)
+    if key not in _held:
+        _held.clear()
+        tables = [pq.read_table(SparkFiles.get(n)) for n in names]
+        keys = np.concatenate([t["k"].to_numpy().view(np.uint64) ^ _FLIP for t in tables])
+        _held[key] = SortedHashes(keys, np.concatenate([t["v"].to_numpy() for t in tables]))
+    return _held[key]
 
 
 def log_probabilities(model: SortedHashes, l: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -220,57 +254,73 @@ def log_probabilities(model: SortedHashes, l: np.ndarray, code: np.ndarray) -> n
     return out
 
 
-def _parts(model: DataFrame, most: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """The model's rows with their part, and (language, last context byte, part); unigrams belong to every part of a language (-1)."""
-    last = F.when(F.col("kind") == 1, F.lit(-1)).when(F.col("kind") < 10, F.shiftright("g", 8).bitwiseAND(F.lit(255))).when(F.col("kind") == 10, F.lit(-1)).otherwise(F.col("g").bitwiseAND(F.lit(255)))
-    model = model.withColumn("last", last.cast("int"))
-    places, part, held = [], 0, 0
-    for l, b, n in sorted(tuple(r) for r in model.where("last >= 0").groupBy("l", "last").count().collect()):
+def _parts(model: DataFrame, most: int) -> list[tuple[DataFrame, list[tuple[int, int, int]]]]:
+    """The model's rows part by part, with the (language, last, last but one byte of the context) whose positions it can score; all in one part if that is not too much."""
+    if model.count() <= most:
+        return [(model, [])]
+    context = F.when(F.col("kind") < 10, F.shiftright("g", 8)).otherwise(F.col("g"))
+    size = F.when(F.col("kind") < 10, F.col("kind") - 1).otherwise(F.col("kind") - 10)  # bytes of context
+    cut = model.withColumn("b1", F.when(size >= 1, context.bitwiseAND(F.lit(255))).otherwise(-1).cast("int"))
+    cut = cut.withColumn("b2", F.when(size >= 2, F.shiftright(context, 8).bitwiseAND(F.lit(255))).otherwise(-1).cast("int"))
+    parts: list[list[tuple[int, int, int]]] = [[]]
+    held = 0
+    for l, b1, b2, n in sorted(tuple(r) for r in cut.where("b2 >= 0").groupBy("l", "b1", "b2").count().collect()):  # 65,536 a language at most
         if held and held + n > most:
-            part, held = part + 1, 0
+            parts.append([])
+            held = 0
         held += n
-        places.append((l, b, part))
-    return model, places
+        parts[-1].append((l, b1, b2))
+    out = []
+    for places in parts:
+        own = model.sparkSession.createDataFrame([*places, *{(l, b1, -1) for l, b1, _ in places}, *{(l, -1, -1) for l, _, _ in places}] or [(-1, -1, -1)], "l int, b1 int, b2 int")
+        shared = cut.where("b2 < 0") if not out else cut.join(F.broadcast(own), ["l", "b1", "b2"]).where("b2 < 0")  # the first also scores what the model doesn't know
+        out.append((cut.join(F.broadcast(own), ["l", "b1", "b2"]).where("b2 >= 0").select(*model.columns).unionByName(shared.select(*model.columns)), places))
+    return out
 
 
 def scores(docs: DataFrame, params: Params, languages: list[str | None]) -> DataFrame:
     """(doc_id, l, s, s2, n): sums of log-probabilities and of their squares, and bytes."""
     spark = docs.sparkSession
-    model, places = _parts(model_table(docs, languages), params.broadcast_entries)
+    model = model_table(docs, languages)
+    parts = _parts(model, params.part_entries)
     passes = []
-    for part in range(max((p for _, _, p in places), default=0) + 1):
-        own = spark.createDataFrame([(l, b) for l, b, p in places if p == part] or [(-1, -1)], "l int, last int")
-        rows = model.where("last < 0").unionByName(model.join(F.broadcast(own), ["l", "last"]).select(*model.columns))
-        here = np.zeros((max(1, len(languages)), 256), bool)
-        if part == 0:
-            here[:] = True  # also what the model doesn't know
-            here[[l for l, _, p in places if p], [b for _, b, p in places if p]] = False
-        else:
-            here[[l for l, _, p in places if p == part], [b for _, b, p in places if p == part]] = True
-        shared = spark.sparkContext.broadcast((arrays(rows.select("kind", "l", "g", "v").toArrow()), here))
+    texts = docs.where("length(text) > 0").select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text", F.monotonically_increasing_id().alias("place"))
+    for number, (rows, places) in enumerate(parts):
+        names, here = stored(spark, rows), None
+        if len(parts) > 1:
+            here = np.zeros((max(1, len(languages)), 1 << 16), bool)
+            of = lambda x: ([l for l, _, _ in x], [b1 << 8 | b2 for _, b1, b2 in x])
+            here[of(places)] = True
+            if not number:  # also what the model doesn't know
+                here[:] = True
+                here[of([p for _, x in parts[1:] for p in x])] = False
+        shared = spark.sparkContext.broadcast((names, here))
 
         def score(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            m, here = shared.value
+            names, here = shared.value
+            m = fetched(names)
             for b in batches:
                 lang = _language_ids(b.column("lang"), languages)
                 sums = np.zeros((3, b.num_rows))
                 for first, after, raw, offsets in runs(b.column("text")):
                     of, code = grams(raw, offsets)
                     of += first
-                    if not here.all():
-                        mine = here[lang[of], (code >> np.uint64(8)).astype(np.int64) & 255]
+                    if here is not None:
+                        context = (code >> np.uint64(8)).astype(np.int64)
+                        mine = here[lang[of], (context & 255) << 8 | context >> 8 & 255]
                         of, code = of[mine], code[mine]
                     v = log_probabilities(m, lang[of].astype(np.uint64), code)
                     at, n = of - first, after - first
                     sums[:, first:after] += [np.bincount(at, v, n), np.bincount(at, v * v, n), np.bincount(at, minlength=n)]
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(lang.astype(np.int32)), *(pa.array(x) for x in sums)], ["doc_id", "l", "s", "s2", "n"])
+                yield pa.RecordBatch.from_arrays([b.column("place"), b.column("doc_id"), pa.array(lang.astype(np.int32)), *(pa.array(x) for x in sums)], ["place", "doc_id", "l", "s", "s2", "n"])
 
-        texts = docs.where("length(text) > 0").select(F.col("doc_id").cast("long"), F.col("lang").cast("string").alias("lang"), "text")
-        passes.append(texts.mapInArrow(score, "doc_id long, l int, s double, s2 double, n double"))
+        passes.append(texts.mapInArrow(score, "place long, doc_id long, l int, s double, s2 double, n double"))
+    if len(passes) == 1:
+        return passes[0].drop("place")
     table = passes[0]
     for t in passes[1:]:
         table = table.unionByName(t)
-    return table.groupBy("doc_id", "l").agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum("n").alias("n"))
+    return table.groupBy("place", "doc_id", "l").agg(F.sum("s").alias("s"), F.sum("s2").alias("s2"), F.sum("n").alias("n")).drop("place")
 
 
 def _median(values: np.ndarray, n: np.ndarray) -> float:

@@ -58,10 +58,10 @@ def rows():
     return [(i, t, "a" if i % 3 else None) for i, t in enumerate(_texts(60, 1))]
 
 
-@pytest.mark.parametrize("most", [16_000_000, 50])
+@pytest.mark.parametrize("most", [16_000_000, 400])
 def test_perplexity_against_direct_model(spark, rows, most: int) -> None:
     """In one pass, and cut into many."""
-    got = {r["doc_id"]: r["perplexity"] for r in P.rated(spark.createDataFrame(rows, DOC), P.Params(broadcast_entries=most)).collect()}
+    got = {r["doc_id"]: r["perplexity"] for r in P.rated(spark.createDataFrame(rows, DOC), P.Params(part_entries=most)).collect()}
     assert len(got) == len(rows)
     for lang in ("a", None):
         own = [(i, t) for i, t, l in rows if l == lang]
@@ -72,6 +72,17 @@ def test_perplexity_against_direct_model(spark, rows, most: int) -> None:
             assert got[i] == pytest.approx(math.exp(-s / (len(b) - P.ORDER + 1)), rel=1e-3)
 
 
+def test_parts_are_bounded(spark, rows) -> None:
+    """One group of a language and byte is cut further; what every position may back off to is in each part."""
+    docs = spark.createDataFrame(rows, DOC)
+    table = P.model_table(docs, [None, "a"])
+    parts = P._parts(table, 40)
+    top = table.where(f"kind = {P.ORDER}")
+    assert len(parts) > 5 and sum(p.where(f"kind = {P.ORDER}").count() for p, _ in parts) == top.count()
+    largest = max(r["count"] for r in table.where("kind >= 3 and kind < 10").groupBy("l", (table.g / 256).cast("long") % 65536).count().collect())
+    assert all(p.where("kind >= 3 and kind <> 10 and kind <> 11").count() <= max(40, 3 * largest) for p, _ in parts)
+
+
 def test_probabilities_add_up_to_one() -> None:
     prob, back, counts = model(_texts(20, 2))
     for h in list({g[:-1] for g in counts[P.ORDER]})[:20]:
@@ -107,5 +118,5 @@ def test_bands_from_clean_documents(spark) -> None:
 def test_odd_rows(spark) -> None:
     rows = [(1, None, "a"), (2, "", "a"), (3, "one text", "a"), (None, "no id", "b"), (4, "no language", None), (5, "x" * 3_000_000, "c"), (6, "twice", "d"), (6, "twice", "d")]
     df = spark.createDataFrame(rows, DOC).selectExpr("*", "1 l", "2 s", "3 n", "4 g")
-    assert sorted((r["doc_id"] or -1) for r in P.kept(df).collect()) == [-1, 3, 4, 5, 6]
+    assert sorted((r["doc_id"] or -1) for r in P.kept(df).collect()) == [-1, 3, 4, 5, 6, 6]
     assert P.kept(df.limit(0)).count() == 0
