@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,8 +18,9 @@ from .operators import rank as R
 from .operators import suggest as S
 from .operators.snippet import snippets
 from .plans import query as Q
+from .sources import files, sinks
 from .streaming import operators as ST
-from .workspace import shared_dir
+from .workspace import new_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -87,12 +87,15 @@ def _index(spark: SparkSession, sf_dir: str, analyzer: Analyzer = Analyzer()) ->
     return I.build(I.corpus(spark, sf_dir), analyzer)
 
 
-def _light(spark: SparkSession, sf_dir: str) -> I.Index:
+def _light(spark: SparkSession, sf_dir: str, norms: bool = False) -> I.Index:
     """An index whose postings hold no positions: counting alone, where no phrase is asked for."""
     docs = I.analyzed(I.corpus(spark, sf_dir))
-    posted = I.postings(docs, positions=False)
+    posted = I.postings(docs, positions=False, lengths=True)
     stats = I.stats(I.lengths(I.corpus(spark, sf_dir)))
-    return I.Index(docs.drop("tokens"), posted, I.with_idf(I.vocabulary(posted), stats), stats, Analyzer())
+    vocab = I.with_idf(I.vocabulary(posted), stats)
+    if norms:
+        posted = posted.join(I.norms(posted, vocab), "doc_id")
+    return I.Index(docs.drop("tokens"), posted, vocab, stats, Analyzer())
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -232,12 +235,12 @@ def bm25_qf_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_POST}{_tfidf(['ther', 'aux', 'than'])}{_TOP}10")
 def tfidf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.top(R.score_tfidf(_light(spark, sf_dir), ["ther", "aux", "than"]), 10), "score")
+    return _rounded(R.top(R.score_tfidf(_light(spark, sf_dir, norms=True), ["ther", "aux", "than"]), 10), "score")
 
 
 @_query(f"WITH {_POST}{_tfidf(['en', 'er', 'en'])} SELECT doc_id, round(score, 6) AS score FROM bm")
 def tfidf_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.score_tfidf(_light(spark, sf_dir), ["en", "er", "en"]), "score")
+    return _rounded(R.score_tfidf(_light(spark, sf_dir, norms=True), ["en", "er", "en"]), "score")
 
 
 _CAND = f"WITH {_POST}{_bm25(['ther', 'than'])}, c AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 100)"
@@ -260,7 +263,23 @@ def page_2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(f"WITH {_POST}{_bm25(['ther', 'than'])}{_TOP}20")
 def shard_topk_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _rounded(R.sharded_top(R.score_bm25(_light(spark, sf_dir), ["ther", "than"]), 8, 20), "score")
+    index = _light(spark, sf_dir)
+    return _rounded(R.sharded_top(R.score_bm25(index, ["ther", "than"]), index.docs, 8, 20), "score")
+
+
+@_query(f"WITH {_TOKENS} SELECT doc_id, 0.0::DOUBLE AS score FROM toks ORDER BY doc_id LIMIT 10 OFFSET 140")
+def page_15_of_all_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages go over all that a query matches."""
+    found = R.results(_light(spark, sf_dir), "NOT zzzznowhere")
+    return R.page(found, 15, found.count(), 10)
+
+
+@_query("SELECT n_nationkey AS tf, CASE WHEN n_regionkey > 0 THEN round(ln(1 + (30 - n_regionkey + 0.5) / (n_regionkey + 0.5)) * n_nationkey * 2.5 / (n_nationkey + 1.5 * (0.25 + 0.75 * 7 / 1)), 6) ELSE 0 END::DOUBLE AS score FROM nation")
+def bm25_without_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The formula where the average length is 0, and where no document has the term."""
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    score = R.bm25(F.col("n_nationkey"), F.lit(7), F.col("n_regionkey"), F.lit(30), F.lit(0.0))
+    return n.select(F.col("n_nationkey").alias("tf"), F.round(score, 6).alias("score"))
 
 
 @_query(f"WITH {_POST}{_bm25(['ther', 'than'])}, t AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, round(score, 6) AS score, CAST(row_number() OVER (ORDER BY score DESC, doc_id) AS INTEGER) AS rank, round(least(100.0, score * 5), 6) AS relevance FROM t")
@@ -406,9 +425,32 @@ def stats_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(row.withColumn("top_terms", shown), "avg_doc_len", "avg_latency", "cache_hit_rate")
 
 
-@_query(f"WITH {_REQ}, sm AS ({_SUMMARY}) SELECT printf('queries=%d cache_hits=%d avg_latency_ms=%.2f cache_hit_rate=%.2f%% errors=%d', queries, cache_hits, avg_latency, cache_hit_rate, errors) AS report FROM sm")
+def _report_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Documents indexed, and (name, value) of errors, counters and gauges."""
+    e = _events(spark, sf_dir)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").agg(F.count("*").alias("n"))
+    failed = e.where("event_type = 'error'").select(F.concat(F.lit("kind"), (F.col("event_id") % 3).cast("string")).alias("name"), F.col("props").alias("value"), "ts")
+    counted = e.select(F.col("event_type").alias("name"), F.lit(1).alias("value"))
+    return docs, M.latest(failed, "name", "value"), M.counters(counted), M.latest(e.select(F.col("event_type").alias("name"), "value", "ts"), "name", "value")
+
+
+_PARTS = (
+    "er AS (SELECT 'kind' || (event_id % 3) AS name, arg_max(props, ts) AS value FROM events WHERE event_type = 'error' GROUP BY ALL), "
+    "co AS (SELECT event_type AS name, count(*) AS value FROM events GROUP BY ALL), ga AS (SELECT event_type AS name, arg_max(value, ts) AS value FROM events GROUP BY ALL), "
+    "hi AS (SELECT CASE WHEN latency_ms <= 1 THEN 0 ELSE least(31, length(ltrim(bin(latency_ms - 1), '0'))) END AS bucket, count(*) AS n FROM req GROUP BY ALL), "
+    "bu AS (SELECT string_agg((1::BIGINT << i) || '=' || coalesce(n, 0), ', ' ORDER BY i) AS text FROM range(32) r(i) LEFT JOIN hi ON hi.bucket = i), nd AS (SELECT count(*) AS n FROM documents)"
+)
+
+
+@_query(
+    f"WITH {_REQ}, sm AS ({_SUMMARY}), {_PARTS} SELECT 'QUERY METRICS:' || chr(10) || printf('  queries=%d, cacheHits=%d, avgLatencyMs=%.2f, cacheHitRate=%.2f%%', queries, cache_hits, avg_latency, cache_hit_rate) || chr(10) "
+    "|| 'ERROR METRICS:' || chr(10) || '  errorCount=' || errors || chr(10) || 'INDEXING METRICS:' || chr(10) || '  docsIndexed=' || nd.n || chr(10) || '[latency-buckets (ms): ' || bu.text || ']' || chr(10) "
+    "|| (SELECT CASE WHEN count(*) > 0 THEN 'RECENT ERRORS:' || chr(10) || string_agg('  [' || name || '] ' || value || chr(10), '' ORDER BY name) ELSE '' END FROM er) "
+    "|| (SELECT 'COUNTERS: { ' || string_agg(name || '=' || value || ' ', '' ORDER BY name) || '}' || chr(10) FROM co) "
+    "|| (SELECT 'GAUGES: { ' || string_agg(printf('%s=%.2f ', name, value), '' ORDER BY name) || '}' || chr(10) FROM ga) AS report FROM sm, nd, bu"
+)
 def metrics_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.report(M.summary(_requests(spark, sf_dir)))
+    return M.report(_requests(spark, sf_dir), *_report_parts(spark, sf_dir))
 
 
 @_query("SELECT time_bucket(INTERVAL '5 minutes', ts) AS start, event_type AS query, count(*) AS n FROM events GROUP BY ALL")
@@ -466,9 +508,9 @@ def snippet_no_hit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return snippets(I.corpus(spark, sf_dir), [])
 
 
-@_query(f"WITH {_CORPUS} SELECT doc_id, regexp_replace(substr(content, 1, 200), '(?i)(ther|than)', '<mark>\\1</mark>', 'g') AS marked FROM corpus")
+@_query(f"WITH {_CORPUS} SELECT doc_id, regexp_replace(content, '(?i)(ther|than)', '<mark>\\1</mark>', 'g') AS marked FROM corpus")
 def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.corpus(spark, sf_dir).select("doc_id", X.highlight(F.substring("content", 1, 200), "ther OR than").alias("marked"))
+    return I.corpus(spark, sf_dir).select("doc_id", X.highlight(F.col("content"), "ther OR than").alias("marked"))
 
 
 @_query(f"WITH {_CORPUS} SELECT doc_id, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '[.]txt$', '') AS shown FROM corpus")
@@ -481,10 +523,10 @@ def sanitize_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.corpus(spark, sf_dir).select("doc_id", X.sanitize(F.col("content")).alias("clean"), X.valid_query(F.col("content")).alias("valid"))
 
 
-@_query(f"WITH {_CORPUS} SELECT doc_id, sha256(path) AS password_hash, rtrim(translate(base64(path::BLOB), '+/', '-_'), '=') AS b64, round(size_bytes / 1024.0, 1)::DOUBLE AS kb, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%b %-d, %Y') AS day FROM corpus")
+@_query(f"WITH {_CORPUS} SELECT doc_id, sha256(path) AS password_hash, rtrim(translate(base64(path::BLOB), '+/', '-_'), '=') AS b64, path AS decoded, round(size_bytes / 1024.0, 1)::DOUBLE AS kb, strftime(to_timestamp(mtime) AT TIME ZONE 'UTC', '%b %-d, %Y') AS day FROM corpus")
 def scalar_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = I.corpus(spark, sf_dir)
-    return c.select("doc_id", X.password_hash(F.col("path")).alias("password_hash"), X.base64url(F.col("path").cast("binary")).alias("b64"), X.size_kb(F.col("size_bytes")).alias("kb"), X.day(F.col("mtime")).alias("day"))
+    return c.select("doc_id", X.password_hash(F.col("path")).alias("password_hash"), X.base64url(F.col("path").cast("binary")).alias("b64"), X.unbase64url(X.base64url(F.col("path").cast("binary"))).cast("string").alias("decoded"), X.size_kb(F.col("size_bytes")).alias("kb"), X.day(F.col("mtime")).alias("day"))
 
 
 @_query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
@@ -497,11 +539,19 @@ def html_escape(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", X.html_escape(F.col("html")).alias("escaped"))
 
 
-@_query(f"WITH {_POST}{_bm25(_SNIP_WORDS)}, t AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) SELECT doc_id, '{{\"docID\":' || doc_id || ',\"path\":\"' || path || '\",\"size\":' || size_bytes || ',\"mtime\":' || mtime || '}}' AS json FROM t JOIN corpus USING (doc_id)")
+_SNIP_CTE, _SNIP_SELECT = _SNIP_SQL.rsplit(" SELECT doc_id, CASE", 1)
+
+
+@_query(
+    _SNIP_CTE + ", sn AS (SELECT doc_id, CASE" + _SNIP_SELECT + "), t AS (SELECT * FROM bm ORDER BY score DESC, doc_id LIMIT 10) "
+    "SELECT doc_id, '{\"query\":\"ther than\",\"cache_hit\":false,\"docID\":' || doc_id || ',\"score\":\"' || printf('%.4f', round(score, 4)) || '\",\"path\":\"' || path || '\",\"size\":' || size_bytes || ',\"mtime\":' || mtime || ',\"snippet\":' || to_json(snippet) || '}' AS json "
+    "FROM t JOIN corpus USING (doc_id) JOIN sn USING (doc_id)"
+)
 def result_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = R.search(_light(spark, sf_dir), "ther than", 10)
-    fields = F.struct(F.col("doc_id").alias("docID"), "path", F.col("size_bytes").alias("size"), "mtime")
-    return found.select("doc_id", F.to_json(fields).alias("json"))
+    texts = I.corpus(spark, sf_dir).join(F.broadcast(found.select("doc_id")), "doc_id").select("doc_id", "content")
+    fields = F.struct(F.lit("ther than").alias("query"), F.lit(False).alias("cache_hit"), F.col("doc_id").alias("docID"), F.format_string("%.4f", F.round("score", 4)).alias("score"), "path", F.col("size_bytes").alias("size"), "mtime", "snippet")
+    return found.join(snippets(texts, _SNIP_WORDS), "doc_id").select("doc_id", F.to_json(fields).alias("json"))
 
 
 # ---- web ----
@@ -539,7 +589,7 @@ def url_filename(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pages(spark, sf_dir).select("page_id", W.file_name(F.col("url")).alias("name"))
 
 
-@_query(f"WITH one AS (SELECT url, any_value(html) AS html FROM pages GROUP BY url HAVING count(*) = 1) SELECT url, 'URL: ' || url || chr(10) || chr(10) || {_HTML_SQL} AS content FROM one")
+@_query(f"WITH one AS (SELECT url, html FROM pages QUALIFY row_number() OVER (PARTITION BY url ORDER BY page_id NULLS LAST, html NULLS LAST) = 1) SELECT url, 'URL: ' || url || chr(10) || chr(10) || {_HTML_SQL} AS content FROM one")
 def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _page_files(_pages(spark, sf_dir))
 
@@ -599,25 +649,92 @@ def sync_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query(f"WITH {_POST}, gone AS (SELECT doc_id FROM labels WHERE toxic = 1) SELECT term, count(*) AS df FROM post WHERE doc_id NOT IN (SELECT doc_id FROM gone) GROUP BY ALL")
 def remove_docs_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id")
-    return N.remove(_light(spark, sf_dir), gone).vocab.select("term", "df")
+    return N.remove(_index(spark, sf_dir), gone).vocab.select("term", "df")
+
+
+_CHANGED = (
+    f"{_CORPUS}, known AS (SELECT doc_id, max(toxic) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id), "
+    "changed AS (SELECT path, CASE WHEN toxic = 1 THEN '[removed]' ELSE content || ' (checked)' END AS content, toxic FROM corpus JOIN known USING (doc_id))"
+)
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with labels, changed: (path, content, toxic)."""
+    known = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    text = F.when(F.col("toxic") == 1, "[removed]").otherwise(F.concat("content", F.lit(" (checked)")))
+    return I.corpus(spark, sf_dir).join(known, "doc_id").select("path", text.alias("content"), "toxic")
 
 
-@_query("WITH c AS (SELECT 'n' || n_nationkey AS path, n_name AS content, n_nationkey AS seq FROM nation UNION ALL SELECT 'n' || n_regionkey, n_name, 100 + n_nationkey FROM nation), t AS (SELECT 'n' || r_regionkey AS path, r_name AS content, -1 AS seq FROM region), a AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY seq DESC) AS i FROM (SELECT * FROM c UNION ALL SELECT * FROM t)) SELECT path, content FROM a WHERE i = 1")
+@_query(f"WITH {_CHANGED} SELECT path, coalesce(c.content, corpus.content) AS content FROM corpus LEFT JOIN changed c USING (path) UNION ALL SELECT 'page/' || page_id, url FROM pages")
 def upsert_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, r = spark.read.parquet(f"{sf_dir}/nation.parquet"), spark.read.parquet(f"{sf_dir}/region.parquet")
-    name = lambda c: F.concat(F.lit("n"), F.col(c).cast("string")).alias("path")
-    changes = n.select(name("n_nationkey"), F.col("n_name").alias("content"), F.col("n_nationkey").cast("long").alias("seq")).unionByName(n.select(name("n_regionkey"), F.col("n_name").alias("content"), (F.col("n_nationkey") + 100).cast("long").alias("seq")))
-    return N.upsert(r.select(name("r_regionkey"), F.col("r_name").alias("content")), changes)
+    """The corpus with the changes of its labelled documents (of two for a path the later counts) and with the pages as new documents."""
+    changed = _changes(spark, sf_dir)
+    drafts = changed.select("path", F.lit("draft").alias("content"), F.lit(1).cast("long").alias("seq"))
+    pages = _pages(spark, sf_dir).select(F.concat(F.lit("page/"), F.col("page_id").cast("string")).alias("path"), F.col("url").alias("content"), F.lit(3).cast("long").alias("seq"))
+    return N.upsert(I.corpus(spark, sf_dir).select("path", "content"), changed.select("path", "content", F.lit(2).cast("long").alias("seq")).unionByName(drafts).unionByName(pages))
 
 
-def _wal(spark: SparkSession, sf_dir: str) -> DataFrame:
+@_query(f"WITH {_CHANGED} SELECT path, coalesce(c.content, corpus.content) AS content FROM corpus LEFT JOIN changed c USING (path)")
+def document_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored table after a first load and two upserts."""
+    path = new_path(spark, "document-table")
+    changed = _changes(spark, sf_dir)
+    for part in (I.corpus(spark, sf_dir).select("path", "content"), changed.select("path", F.lit("draft").alias("content")), changed.select("path", "content")):
+        sinks.save_documents(spark, path, part)
+    return sinks.stored_documents(spark, path).select("path", "content")
+
+
+@_query(
+    f"WITH {_SNAPS}, now AS (SELECT path, CASE WHEN source IN ('src0', 'src1') AND lang <> 'fr' THEN text || ' zznewword' ELSE text END AS content FROM new JOIN corpus USING (path) JOIN documents USING (doc_id)), "
+    f"t AS (SELECT path, unnest(list_distinct(list_transform(regexp_extract_all(content, '[A-Za-z0-9]+'), lambda x: lower(x)))) AS term FROM now) SELECT term, count(*) AS df FROM t WHERE NOT list_contains({_STOP}, term) GROUP BY ALL"
+)
+def synced_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vocabulary after an update: removed documents are gone, new and modified ones analyzed, those without an old time as they were."""
+    old, new = _snapshots(spark, sf_dir)
+    docs = I.corpus(spark, sf_dir)
+    was = docs.drop("mtime").join(old, "path")
+    text = F.when(F.col("path").rlike("^/docs/src[01]/"), F.concat("content", F.lit(" zznewword"))).otherwise(F.col("content"))
+    snapshot = docs.drop("mtime").join(new, "path").select("path", "size_bytes", "mtime", text.alias("content"))
+    index = I.stored(spark, was, I.postings(I.analyzed(was)), Analyzer())
+    return N.sync(index, snapshot).vocab.select("term", "df")
+
+
+@_query(f"WITH {_LENGTHS}, gone AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1) SELECT count(*) AS n, round(avg(CASE WHEN doc_id IN (SELECT doc_id FROM gone) THEN 0 ELSE dl END), 6) AS avgdl FROM dl")
+def tombstone_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics where removed documents still count, as empty ones."""
+    gone = spark.read.parquet(f"{sf_dir}/labels.parquet").where("toxic = 1").select("doc_id").distinct()
+    return _rounded(N.remove(_index(spark, sf_dir), gone, count_tombstones=True).stats.select("n", "avgdl"), "avgdl")
+
+
+@_query(f"WITH {_CORPUS} SELECT doc_id FROM corpus WHERE NOT starts_with(path, '/docs/src0/')")
+def vanished_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An index of which a folder's files are gone."""
+    present = I.corpus(spark, sf_dir).where(~F.startswith("path", F.lit("/docs/src0/"))).select("path")
+    return I.without_vanished(_index(spark, sf_dir), present).docs.select("doc_id")
+
+
+@_query(f"WITH {_CORPUS} SELECT path, row_number() OVER (ORDER BY path) - 1 AS doc_id FROM corpus")
+def numbered_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered in the order of their paths."""
+    return files.numbered(I.corpus(spark, sf_dir).select("path")).select("path", "doc_id")
+
+
+@_query("SELECT event_type AS query, count(*) AS n FROM events GROUP BY ALL")
+def query_log_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of queries, written as lines and read again."""
+    path = new_path(spark, "log")
+    _log(spark, sf_dir).select("query").write.text(path)
+    return files.query_log(spark, path).groupBy("query").agg(F.count("*").alias("n"))
+
+
+def _wal_rows(events: DataFrame) -> DataFrame:
     op = F.when(F.col("event_type") == "error", F.when(F.col("value") > 150, "REINDEX").otherwise("REMOVE")).when(F.col("event_type") == "signup", "REMOVE").otherwise("ADD")
-    return _events(spark, sf_dir).select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
+    return events.select(F.col("event_id").alias("seq"), op.alias("op"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("path"))
 
 
 @_query("WITH w AS (SELECT event_id AS seq, CASE WHEN event_type = 'error' THEN CASE WHEN value > 150 THEN 'REINDEX' ELSE 'REMOVE' END WHEN event_type = 'signup' THEN 'REMOVE' ELSE 'ADD' END AS op, 'u' || user_id AS path FROM events), r AS (SELECT coalesce(max(seq), -1) AS reset FROM w WHERE op = 'REINDEX') SELECT path, arg_max(op, seq) AS op FROM w, r WHERE op <> 'REINDEX' AND seq > reset GROUP BY path")
 def wal_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return N.wal_fold(_wal(spark, sf_dir))
+    return N.wal_fold(_wal_rows(_events(spark, sf_dir)))
 
 # ---- streams, stored indexes, robots, reports ----
 
@@ -647,10 +764,31 @@ def stream_windowed_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ST.settled(ST.windowed_counts(log), "windows", "complete").withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@_query(f"WITH {_CORPUS} SELECT path, content FROM corpus")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that come as a stream, some of which are there already."""
+    path, target = f"{sf_dir}/documents.parquet", new_path(spark, "ingested")
+    there = I.corpus(spark, sf_dir).where("doc_id % 3 = 0").select("path", "content")
+    there.write.parquet(target)
+    source = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path + "*")
+    rows = source.select(F.concat(F.lit("/docs/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.col("text").alias("content"))
+    ST.ingest(rows, target, new_path(spark, "ingest-state")).awaitTermination()
+    return spark.read.parquet(target)
+
+
+@_query(_sql["wal_fold"])
+def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log's replay as a stream hands it on."""
+    at = new_path(spark, "replayed")
+    wal = _wal_rows(_stream(spark, sf_dir))
+    ST.replay(wal, lambda todo, anew: todo.write.mode("overwrite").parquet(at), new_path(spark, "replay-state")).awaitTermination()
+    return spark.read.parquet(at)
+
+
 @_query(f"WITH {_POST} SELECT term, doc_id, tf FROM post WHERE term IN ('ther', 'than')")
 def index_save_load(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A term lookup in an index that was saved and loaded; its filter is pushed to the scan."""
-    path = f"{shared_dir(spark)}/tessera-index-{uuid.uuid4().hex}"
+    path = new_path(spark, "index")
     I.save(_index(spark, sf_dir), path)
     return I.load(spark, path).postings.where(F.col("term").isin("ther", "than")).select("term", "doc_id", "tf")
 
@@ -669,14 +807,31 @@ def robots_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.allowed(pages, C.robots_rules(robots))
 
 
-@_query("SELECT '{\"status\":\"ok\",\"docs\":' || count(*) || '}' AS health FROM documents")
+@_query(f"WITH {_REQ}, sm AS ({_SUMMARY}) SELECT '{{\"status\":\"ok\",\"docs\":' || (SELECT count(*) FROM documents) || ',\"queries\":' || queries || ',\"errors\":' || errors || '}}' AS health FROM sm")
 def health(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.health(_light(spark, sf_dir))
+    return M.health(_report_parts(spark, sf_dir)[0], _requests(spark, sf_dir))
+
+
+_KIND = "'# TYPE {0} {1}' || chr(10) || '{0} ' || {2} || chr(10)"
 
 
 @_query(
-    f"WITH {_REQ}, sm AS ({_SUMMARY}) SELECT printf('# TYPE query_total counter\\nquery_total %d\\n# TYPE cache_hits_total counter\\ncache_hits_total %d\\n# TYPE cache_hit_rate gauge\\ncache_hit_rate %.2f\\n# TYPE query_latency_ms histogram\\nquery_latency_avg_ms %.2f\\n"
-    "query_latency_min_ms %d\\nquery_latency_max_ms %d\\n# TYPE errors_total counter\\nerrors_total %d\\n', queries, cache_hits, cache_hit_rate, avg_latency, min_latency, max_latency, errors) AS report FROM sm".replace("\\n", "' || chr(10) || '").replace("printf('", "printf(('", 1).replace("', queries", "'), queries", 1)
+    f"WITH {_REQ}, sm AS ({_SUMMARY}), {_PARTS} SELECT "
+    + " || ".join(
+        [
+            _KIND.format("query_total", "counter", "queries"),
+            _KIND.format("cache_hits_total", "counter", "cache_hits"),
+            _KIND.format("cache_hit_rate", "gauge", "printf('%.2f', cache_hit_rate)"),
+            "'# TYPE query_latency_ms histogram' || chr(10) || 'query_latency_avg_ms ' || printf('%.2f', avg_latency) || chr(10)",
+            "CASE WHEN min_latency > 0 THEN 'query_latency_min_ms ' || min_latency || chr(10) || 'query_latency_max_ms ' || max_latency || chr(10) ELSE '' END",
+            _KIND.format("errors_total", "counter", "errors"),
+            _KIND.format("docs_indexed_total", "counter", "nd.n"),
+            "(SELECT string_agg('counter_' || name || ' ' || value || chr(10), '' ORDER BY name) FROM co)",
+            "(SELECT string_agg(printf('gauge_%s %.2f', name, value) || chr(10), '' ORDER BY name) FROM ga)",
+        ]
+    )
+    + " AS report FROM sm, nd"
 )
 def prometheus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return M.prometheus(M.summary(_requests(spark, sf_dir)))
+    docs, _, counts, gauges = _report_parts(spark, sf_dir)
+    return M.prometheus(_requests(spark, sf_dir), docs, counts, gauges)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer
+from ..workspace import discard, new_path, written
 
-VERSION = 2
+VERSION = 3
 #: Sizes that the index-size estimate counts with: of a posting without positions, of a position, of a document.
 POSTING_BYTES, POSITION_BYTES, DOCUMENT_BYTES = 32, 4, 88
 
@@ -41,12 +42,13 @@ def stats(with_lengths: DataFrame) -> DataFrame:
     return with_lengths.agg(F.count("*").alias("n"), F.coalesce(F.avg("dl"), F.lit(0.0)).alias("avgdl"))
 
 
-def postings(tokened: DataFrame, positions: bool = True) -> DataFrame:
-    """(term, doc_id, tf[, positions]) from documents with tokens."""
+def postings(tokened: DataFrame, positions: bool = True, lengths: bool = False) -> DataFrame:
+    """(term, doc_id, tf[, dl][, positions]) from documents with tokens (and dl)."""
+    own = ["doc_id", "dl"] if lengths else ["doc_id"]
     if not positions:
-        return tokened.select("doc_id", F.explode("tokens").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf")
-    each = tokened.select("doc_id", F.posexplode("tokens").alias("pos", "term"))
-    return each.groupBy("doc_id", "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "tf", "positions")
+        return tokened.select(*own, F.explode("tokens").alias("term")).groupBy(*own, "term").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", *own[1:])
+    each = tokened.select(*own, F.posexplode("tokens").alias("pos", "term"))
+    return each.groupBy(*own, "term").agg(F.count("*").alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions")).select("term", "doc_id", "tf", *own[1:], "positions")
 
 
 def vocabulary(posted: DataFrame) -> DataFrame:
@@ -90,7 +92,10 @@ def ungapped(gapped: DataFrame, order: str) -> DataFrame:
 
 @dataclass
 class Index:
-    """docs(doc_id, path, size_bytes, mtime, content, dl), postings, vocab(term, df, idf), stats(n, avgdl)."""
+    """docs(doc_id, path, size_bytes, mtime, content, dl, norm), postings(term, doc_id, tf, dl, norm, positions), vocab(term, df, idf), stats(n, avgdl).
+
+    A document's length and norm stand in its postings too, so that a query's terms are all that ranking reads.
+    """
 
     docs: DataFrame
     postings: DataFrame
@@ -98,6 +103,8 @@ class Index:
     stats: DataFrame
     analyzer: Analyzer
     version: int = 0
+    #: Where ``stored`` has put it.
+    path: str = ""
 
     def cache(self) -> Index:
         for t in (self.docs, self.postings, self.vocab, self.stats):
@@ -109,13 +116,33 @@ class Index:
             t.unpersist()
 
 
+_BASE = ("doc_id", "path", "size_bytes", "mtime", "content")
+
+
+def assembled(docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0) -> Index:
+    """An index of documents (doc_id, path, size_bytes, mtime, content) and postings (term, doc_id, tf, positions): all that follows from them."""
+    docs, posted = docs.select(*_BASE), posted.drop("dl", "norm")
+    n = docs.agg(F.count("*").alias("n"))
+    vocab = with_idf(vocabulary(posted), n)
+    w = (1 + F.log("tf")) * F.col("idf")
+    each = posted.select("term", "doc_id", "tf").join(vocab.select("term", "idf"), "term").groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(w * w)).alias("norm"))
+    measured = docs.join(each, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))).withColumn("norm", F.coalesce("norm", F.lit(0.0)))
+    return Index(measured, posted.join(each, "doc_id").select("term", "doc_id", "tf", "dl", "norm", "positions"), vocab, stats(measured), analyzer, version)
+
+
 def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), version: int = 0) -> Index:
     """An index of documents (doc_id, path, size_bytes, mtime, content); the same documents give the same index."""
-    tokened = analyzed(docs, analyzer)
-    posted = postings(tokened)
-    kept = tokened.drop("tokens")
-    corpus_stats = stats(lengths(docs, analyzer))
-    return Index(kept, posted, with_idf(vocabulary(posted), corpus_stats), corpus_stats, analyzer, version)
+    return assembled(docs, postings(analyzed(docs, analyzer)), analyzer, version)
+
+
+def stored(spark: SparkSession, docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0) -> Index:
+    """An index whose tables are written to the shared folder: queries scan them, and nothing is computed again."""
+    posted = written(posted.drop("dl", "norm"), "postings")
+    docs = written(docs.select(*_BASE), "documents")
+    path = new_path(spark, "index")
+    save(assembled(docs, posted, analyzer, version), path)
+    discard(posted, docs)
+    return replace(load(spark, path, analyzer), version=version, path=path)
 
 
 def save(index: Index, path: str, partitions: int | None = None) -> None:
@@ -136,13 +163,7 @@ def load(spark: SparkSession, path: str, analyzer: Analyzer = Analyzer()) -> Ind
     return Index(spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/vocab"), stored.drop("format_version"), analyzer)
 
 
-def recomputed(docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0) -> Index:
-    """Statistics anew from documents (with dl) and postings, after a change or a load."""
-    corpus_stats = stats(docs)
-    return Index(docs, posted, with_idf(vocabulary(posted), corpus_stats), corpus_stats, analyzer, version)
-
-
 def without_vanished(index: Index, present: DataFrame) -> Index:
     """Without documents whose path isn't there any more, except crawled ones."""
     stay = index.docs.join(present.select("path"), "path", "left_semi").unionByName(index.docs.where(F.contains("path", F.lit("/crawled/"))).join(present.select("path"), "path", "left_anti"))
-    return recomputed(stay, index.postings.join(stay.select("doc_id"), "doc_id", "left_semi"), index.analyzer, index.version + 1)
+    return stored(stay.sparkSession, stay, index.postings.join(stay.select("doc_id"), "doc_id", "left_semi"), index.analyzer, index.version + 1)

@@ -61,9 +61,29 @@ def dashboard(index: Index, requests: DataFrame, log: DataFrame, scoring: str =
     return row
 
 
-def prometheus(summary_row: DataFrame) -> DataFrame:
-    """The summary in the text format that scrapers read."""
+def _joined(rows: DataFrame | None, spark_of: DataFrame, form, name: str, before: str = "", after: str = "") -> DataFrame:
+    """One row: the (name, value) rows as text, in order of name; empty where there are none."""
+    if rows is None:
+        return spark_of.select(F.lit("").alias(name))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("name", "value"))), lambda x: form(x["name"], x["value"])), "")
+    return rows.agg(F.when(F.count("*") > 0, F.concat(F.lit(before), text, F.lit(after))).otherwise("").alias(name))
+
+
+def _beside(row: DataFrame, *parts: DataFrame) -> DataFrame:
+    for part in parts:
+        row = row.crossJoin(F.broadcast(part))  # one row each
+    return row
+
+
+def prometheus(requests: DataFrame, docs_indexed: DataFrame, counts: DataFrame | None = None, gauges: DataFrame | None = None) -> DataFrame:
+    """Everything in the text format that scrapers read.  docs_indexed: one row (n); counts and gauges: (name, value)."""
     line = lambda name, kind, c, form="%d": F.format_string(f"# TYPE {name} {kind}\n{name} {form}\n", c)
+    one = _beside(
+        summary(requests),
+        docs_indexed.select(F.col("n").cast("long").alias("docs_indexed")),
+        _joined(counts, docs_indexed, lambda n, v: F.format_string("counter_%s %d\n", n, v.cast("long")), "counts"),
+        _joined(gauges, docs_indexed, lambda n, v: F.format_string("gauge_%s %.2f\n", n, v.cast("double")), "gauges"),
+    )
     text = F.concat(
         line("query_total", "counter", F.col("queries")),
         line("cache_hits_total", "counter", F.col("cache_hits")),
@@ -71,14 +91,38 @@ def prometheus(summary_row: DataFrame) -> DataFrame:
         F.format_string("# TYPE query_latency_ms histogram\nquery_latency_avg_ms %.2f\n", F.col("avg_latency")),
         F.when(F.col("min_latency") > 0, F.format_string("query_latency_min_ms %d\nquery_latency_max_ms %d\n", F.col("min_latency"), F.col("max_latency"))).otherwise(""),
         line("errors_total", "counter", F.col("errors")),
+        line("docs_indexed_total", "counter", F.col("docs_indexed")),
+        F.col("counts"),
+        F.col("gauges"),
     )
-    return summary_row.select(text.alias("report"))
-
-
-def report(summary_row: DataFrame) -> DataFrame:
-    text = F.format_string("queries=%d cache_hits=%d avg_latency_ms=%.2f cache_hit_rate=%.2f%% errors=%d", "queries", "cache_hits", "avg_latency", "cache_hit_rate", "errors")
-    return summary_row.select(text.alias("report"))
+    return one.select(text.alias("report"))
+
+
+def report(requests: DataFrame, docs_indexed: DataFrame, errors: DataFrame | None = None, counts: DataFrame | None = None, gauges: DataFrame | None = None) -> DataFrame:
+    """The plain report.  docs_indexed: one row (n); errors: (name, value), the last message of each type; counts and gauges: (name, value)."""
+    seen = latency_histogram(requests).agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("seen"))
+    buckets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda i: F.format_string("%d=%d", F.call_function("shiftleft", F.lit(1).cast("long"), i), F.coalesce(F.try_element_at(F.col("seen"), i), F.lit(0).cast("long")))), ", ")
+    one = _beside(
+        summary(requests),
+        docs_indexed.select(F.col("n").cast("long").alias("docs_indexed")),
+        seen,
+        _joined(errors, docs_indexed, lambda n, v: F.format_string("  [%s] %s\n", n, v.cast("string")), "last", "RECENT ERRORS:\n"),
+        _joined(counts, docs_indexed, lambda n, v: F.format_string("%s=%d ", n, v.cast("long")), "counts", "COUNTERS: { ", "}\n"),
+        _joined(gauges, docs_indexed, lambda n, v: F.format_string("%s=%.2f ", n, v.cast("double")), "gauges", "GAUGES: { ", "}\n"),
+    )
+    text = F.concat(
+        F.format_string("QUERY METRICS:\n  queries=%d, cacheHits=%d, avgLatencyMs=%.2f, cacheHitRate=%.2f%%\n", "queries", "cache_hits", "avg_latency", "cache_hit_rate"),
+        F.format_string("ERROR METRICS:\n  errorCount=%d\nINDEXING METRICS:\n  docsIndexed=%d\n", "errors", "docs_indexed"),
+        F.lit("[latency-buckets (ms): "),
+        buckets,
+        F.lit("]\n"),
+        F.col("last"),
+        F.col("counts"),
+        F.col("gauges"),
+    )
+    return one.select(text.alias("report"))
 
 
-def health(index: Index) -> DataFrame:
-    return index.stats.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.col("n").alias("docs"))).alias("health"))
+def health(docs_indexed: DataFrame, requests: DataFrame) -> DataFrame:
+    one = _beside(docs_indexed.select("n"), summary(requests).select("queries", "errors"))
+    return one.select(F.to_json(F.struct(F.lit("ok").alias("status"), F.col("n").alias("docs"), "queries", "errors")).alias("health"))

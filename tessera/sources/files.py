@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, fields
 from pathlib import Path
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -55,35 +55,53 @@ def numbered(docs: DataFrame, order: str = "path") -> DataFrame:
 
 
 def folder(spark: SparkSession, path: str, recursive: bool = True, only: str | None = None) -> DataFrame:
-    """(doc_id, path, size_bytes, mtime, content) of a folder's documents; without recursion, Word formats are left out.
+    """(doc_id, path, size_bytes, mtime, content) of a folder's documents, empty ones too; without recursion, Word formats are left out.
 
-    Files of no bytes are passed over, as Spark's file sources do.
+    Endings are told apart by case.  Files of other kinds are not read.
     """
     known = EXTENSIONS if recursive else tuple(e for e in EXTENSIONS if e not in (".doc", ".docx"))
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(path)
-    ending = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    files = files.where(ending.isin(*known))
-    if only:
-        files = files.where(ending == only)
-    return _documents(files)
+    wanted = [e for e in known if only in (None, e)]
+    return _documents(spark, [path], "*{" + ",".join(wanted or ["/"]) + "}", recursive)
 
 
 def file_list(spark: SparkSession, paths: list[str]) -> DataFrame:
-    return _documents(spark.read.format("binaryFile").load(paths))
+    return _documents(spark, paths, None, False)
+
+
+def _listed(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool) -> list[tuple[str, int]]:
+    """Path and seconds of change of the files of no bytes, which Spark's file sources pass over; from the listing alone."""
+    hadoop, out = spark._jvm.org.apache.hadoop.fs, []
+    pattern = glob and hadoop.GlobPattern(glob)
+    for p in paths:
+        at = hadoop.Path(p)
+        fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        if fs.getFileStatus(at).isDirectory() and not recursive:
+            files = iter(fs.listStatus(at))
+        else:
+            each = fs.listFiles(at, recursive)
+            files = iter(lambda: each.next() if each.hasNext() else None, None)
+        for f in files:
+            name = f.getPath().getName()
+            if f.isFile() and not f.getLen() and name[:1] not in "._" and (pattern is None or pattern.matches(name)):
+                out.append((f.getPath().toString(), f.getModificationTime() // 1000))
+    return out
 
 
-def _documents(files: DataFrame) -> DataFrame:
-    plain = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1)).alias("ending")
-    rows = files.select("path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime"), plain, "content")
+def _documents(spark: SparkSession, paths: list[str], glob: str | None, recursive: bool) -> DataFrame:
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if glob:
+        reader = reader.option("pathGlobFilter", glob)
+    ending = F.lower(F.regexp_extract("path", r"(\.[^./]*)$", 1))
+    rows = reader.load(paths).select("path", F.col("length").alias("size_bytes"), F.unix_timestamp("modificationTime").alias("mtime"), ending.alias("ending"), "content")
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b["content"] = [_text_of(e, d) for e, d in zip(b["ending"], b["content"])]
-            yield b.drop(columns="ending")
+            texts = [_text_of(e, d or b"") for e, d in zip(b.column("ending").to_pylist(), b.column("content").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("path"), b.column("size_bytes"), b.column("mtime"), pa.array(texts, pa.string())], ["path", "size_bytes", "mtime", "content"])
 
-    texts = rows.where(plain.isin(*TEXT)).select("path", "size_bytes", "mtime", F.decode("content", "UTF-8").alias("content"))
-    others = rows.where(~plain.isin(*TEXT)).mapInPandas(extract, "path string, size_bytes long, mtime long, content string")
-    return numbered(texts.unionByName(others)).select("doc_id", "path", "size_bytes", "mtime", "content")
+    found = rows.mapInArrow(extract, "path string, size_bytes long, mtime long, content string")  # every file is read once, whatever its kind
+    empty = spark.createDataFrame([(p, 0, t, "") for p, t in _listed(spark, paths, glob, recursive)], "path string, size_bytes long, mtime long, content string")
+    return numbered(found.unionByName(empty)).select("doc_id", "path", "size_bytes", "mtime", "content")
 
 
 def table_documents(rows: DataFrame, order: str = "id") -> DataFrame:
@@ -92,6 +110,7 @@ def table_documents(rows: DataFrame, order: str = "id") -> DataFrame:
 
 
 def jdbc_documents(spark: SparkSession, url: str, table: str = "documents", **options: str) -> DataFrame:
+    """Read by as many connections as partitionColumn, lowerBound, upperBound and numPartitions say, if they are given."""
     return table_documents(spark.read.format("jdbc").option("url", url).option("dbtable", table).options(**options).load())
 
 

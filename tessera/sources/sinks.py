@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.incremental import OPS, upsert
+from ..operators.incremental import OPS
+from ..workspace import delete
 
 
 def record_query(spark: SparkSession, path: str, query: str) -> None:
-    spark.createDataFrame([(query,)], "value string").coalesce(1).write.mode("append").text(path)
+    record_queries(spark, path, [query])
+
+
+def record_queries(spark: SparkSession, path: str, queries: list[str]) -> None:
+    """Append to the log; a file for each call, so that a busy server hands over many at a time."""
+    spark.createDataFrame([(q,) for q in queries], "value string").coalesce(1).write.mode("append").text(path)
 
 
 def append_wal(spark: SparkSession, path: str, records: list[tuple[int, str, str]]) -> None:
@@ -20,21 +26,34 @@ def append_wal(spark: SparkSession, path: str, records: list[tuple[int, str, str
     spark.createDataFrame(records, "seq long, op string, path string").coalesce(1).write.mode("append").parquet(path)
 
 
-def save_documents(spark: SparkSession, path: str, changes: DataFrame) -> None:
-    """Upsert on path into a Parquet table: written beside the old one and read from the newest version."""
-    versions = spark.read.parquet(path) if _exists(spark, path) else None
-    version = 0 if versions is None else versions.agg(F.max("version")).first()[0] + 1
-    now = changes.withColumn("indexed_at", F.current_timestamp())
-    if versions is not None:
-        old = versions.where(F.col("version") == version - 1).drop("version")
-        now = upsert(old, now.withColumn("seq", F.lit(0).cast("long")))
-    now.write.mode("append").parquet(f"{path}/version={version}")
+def save_documents(spark: SparkSession, path: str, changes: DataFrame, most_versions: int = 8) -> None:
+    """Upsert on path into a Parquet table: only the changes are written, as a version of their own.
+
+    Reading takes the newest row of each path.  At ``most_versions`` the table is
+    written together into one version, and the others are deleted.
+    """
+    seen = _versions(spark, path)
+    number = seen[-1] + 1 if seen else 0
+    changes.withColumn("indexed_at", F.current_timestamp()).write.parquet(f"{path}/version={number}")
+    if len(seen) + 1 >= most_versions:
+        stored_documents(spark, path).write.parquet(f"{path}/version={number + 1}")
+        for v in [*seen, number]:
+            delete(spark, f"{path}/version={v}")
 
 
 def stored_documents(spark: SparkSession, path: str) -> DataFrame:
+    """The newest row of each path; of several in one version, any."""
     rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.where(F.col("version") == newest).drop("version")
+    kept = [c for c in rows.columns if c != "version"]
+    return rows.groupBy("path").agg(F.max_by(F.struct(*kept), "version").alias("d")).select("d.*")
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    if not _exists(spark, path):
+        return []
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    names = [f.getPath().getName() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
+    return sorted(int(n.partition("=")[2]) for n in names if n.startswith("version="))
 
 
 def _exists(spark: SparkSession, path: str) -> bool:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -16,6 +17,7 @@ from tessera.operators import suggest as S
 from tessera.operators.snippet import snippets
 from tessera.plans import query as Q
 from tessera.plans.query import And, Not, Or, Phrase, Term
+from tessera.sources import sinks
 
 DOCS = {
     0: "red fox and the quick brown fox",
@@ -132,7 +134,7 @@ def test_search_modes_and_ties(index) -> None:
     scored = R.score_bm25(index, ["red", "car"])
     assert [r["doc_id"] for r in R.page(scored, 2, len(best), 2).collect()] == best[2:4]
     assert [r["doc_id"] for r in R.page(scored, 99, len(best), 4).collect()] == best[4:]
-    assert [r["doc_id"] for r in R.sharded_top(scored, 3, 4).collect()] == best[:4]
+    assert [r["doc_id"] for r in R.sharded_top(scored, index.docs, 3, 4).collect()] == best[:4]
 
 
 def test_suggestions(index) -> None:
@@ -169,18 +171,111 @@ def test_save_and_load(spark, index, tmp_path) -> None:
         I.load(spark, str(tmp_path / "j"))
 
 
-def test_facade(spark, index) -> None:
-    e = SearchEngine(spark, index)
+@pytest.fixture(scope="module")
+def engine(spark):
+    rows = [(i, f"/docs/{i}.txt", len((t or "").encode()), 1000 + i % 3, t) for i, t in DOCS.items()]
+    return SearchEngine.build(spark, spark.createDataFrame(rows, "doc_id long, path string, size_bytes long, mtime long, content string"))
+
+
+def _scans(df) -> tuple[int, int]:
+    """How often a plan reads the postings and the documents."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return len(re.findall(r"Relation \[term#\d+,doc_id#", plan)), len(re.findall(r"Relation \[doc_id#", plan))
+
+
+def test_ranking_reads_postings_once_and_no_documents(engine) -> None:
+    i = engine.index
+    for df in (R.score_bm25(i, ["red", "fox"]), R.score_tfidf(i, ["red", "fox"]), R.match_scored(i, Q.parse("red AND fox"), ["red", "fox"]), Q.match(Q.parse("red AND NOT fox"), i.postings, i.docs)):
+        assert df.collect() and _scans(df) == (1, 0)
+        assert "PushedFilters: [In(term, [fox,red])" in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_scores_of_a_stored_index(engine, index) -> None:
+    for ours, direct in ((R.score_bm25, bm25), (R.score_tfidf, tfidf)):
+        got = {r[0]: r[1] for r in ours(engine.index, ["red", "fox", "red"]).collect()}
+        assert all(got[i] == pytest.approx(direct(i, ["red", "fox", "red"])) for i in got) and len(got) == 5
+    got = {r[0]: r[1] for r in R.match_scored(engine.index, Q.parse("red OR NOT brown"), ["red", "brown"]).collect()}
+    want = {i: bm25(i, ["red", "brown"]) for i in DOCS if "red" in TOKENS[i] or "brown" not in TOKENS[i]}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i]) for i in want)
+    assert R.match_scored(engine.index, Q.parse('NOT "the"'), []).count() == len(DOCS)
+
+
+def test_bm25_guards(spark) -> None:
+    from pyspark.sql import functions as F
+
+    row = spark.range(1).select(*[R.bm25(F.lit(2), F.lit(3), F.lit(df), F.lit(10), F.lit(avg)) for df, avg in ((0, 1.0), (1, 0.0), (1, 2.0))]).first()
+    assert row[0] == 0 and all(math.isfinite(x) for x in row) and row[1] < row[2]
+
+
+def test_pages_go_over_all_matches(spark) -> None:
+    rows = [(i, f"/docs/{i}.txt", i, 1000 + i, f"word{i} same") for i in range(230)]
+    e = SearchEngine.build(spark, spark.createDataFrame(rows, "doc_id long, path string, size_bytes long, mtime long, content string"))
+    ids = lambda *x, **k: [h.doc_id for h in e.page(*x, **k)]
+    assert ids("NOT zzzz", 1) == list(range(10)) and ids("NOT zzzz", 15) == list(range(140, 150)) and ids("NOT zzzz", 99) == list(range(220, 230))
+    assert ids("NOT zzzz", 1, 10, "date") == list(range(229, 219, -1))
+    assert ids("same other", 20) == list(range(190, 200)) and ids("same other", 21) == ids("same other", 20)  # a ranked OR: 200
+    assert e.page("NOT zzzz", 2)[0].snippet and ids("nowhere AND same", 3) == []
+
+
+def test_facade(spark, engine, tmp_path, caplog) -> None:
+    e = SearchEngine(spark, engine.index, documents=str(tmp_path / "d"), index_path=str(tmp_path / "i"))
     first, again = e.search("red car", 3), e.search("red car", 3)
     assert not first.cache_hit and again.cache_hit and [h.doc_id for h in first.results] == [h.doc_id for h in again.results]
     assert not e.search("red AND car", 3).cache_hit  # another tree, another entry
     assert '"docID"' in first.to_json() and first.results[0].snippet
     assert e.popular()[0] == ("red car", 2) and e.suggest("red A") == ["red AND car"]
+    e.prewarm(k=3)
+    assert len(e.log) == len(e.requests) == 3 and e.search("red car", 3).cache_hit
     assert e.document(1)["content"] == "quick red car" and e.document(99) is None
     assert e.autocomplete("CA", lower=True) == ["car", "caf"] and e.autocomplete("CA") == []
-    assert e.stats()["queries"] == 3 and "query_total 3" in e.metrics() and '"docs":9' in e.health()
-    assert [h.doc_id for h in e.page("red car", 99, 2)]
+    e.count("uses", 2), e.count("uses"), e.gauge("load", 0.5), e.gauge("load", 0.25), e.error("disk", "full")
+    assert e.stats()["queries"] == 4 and "query_total 4" in e.metrics() and "docs_indexed_total 9\ncounter_uses 3\ngauge_load 0.25\n" in e.metrics()
+    assert e.health() == '{"status":"ok","docs":9,"queries":4,"errors":0}'
+    assert "queries=4, cacheHits=2" in e.report() and "RECENT ERRORS:\n  [disk] full\nCOUNTERS: { uses=3 }\nGAUGES: { load=0.25 }\n" in e.report()
     with pytest.raises(ValueError):
         e.search("x" * 1001)
-    e.remove([1])
-    assert 1 not in [h.doc_id for h in e.search("red car", 3).results]
+    broken = SearchEngine(spark, engine.index)
+    broken.index = I.Index(None, None, None, None, Analyzer())
+    with pytest.raises(AttributeError):
+        broken.search("red")
+    assert broken.requests[-1][2] == "search" and broken.events[-1][1] == "search"
+
+
+def test_rebuild_update_and_remove(spark, tmp_path) -> None:
+    rows = [(i, f"/docs/{i}.txt", 1, 1000, f"red word{i}") for i in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, size_bytes long, mtime long, content string")
+    e = SearchEngine.build(spark, docs, documents=str(tmp_path / "d"), index_path=str(tmp_path / "i"))
+    table = lambda: {r["path"]: r["content"] for r in sinks.stored_documents(spark, str(tmp_path / "d")).collect()}
+    assert e.rebuild(docs)["docs"] == 6 and table() == {r[1]: r[4] for r in rows}
+    lengths = []
+    for n in range(5):  # however often it is updated, its plan stays what it was
+        snapshot = docs.select("path", "size_bytes", "mtime", "content").where(f"path <> '/docs/{n}.txt'").union(spark.createDataFrame([("/docs/new.txt", 1, 2000 + n, f"red new{n}")], "path string, size_bytes long, mtime long, content string"))
+        counts = e.update(snapshot)
+        assert counts["removed"] == 1 and counts["added"] >= 1
+        lengths.append(len(e.index.postings._jdf.queryExecution().analyzed().toString()))
+        assert {h.doc_id for h in e.search(f"new{n}").results} and not e.search("new9").results
+    assert max(lengths) == min(lengths)
+    assert table()["/docs/new.txt"] == "red new4" and I.load(spark, str(tmp_path / "i")).docs.count() == 6
+    assert e.update(snapshot) == {"added": 0, "removed": 0, "modified": 0}
+    gone = e.search("word1").results[0].doc_id
+    e.remove([gone])
+    assert not e.search("word1").results and e.index.docs.count() == 5
+    pages = spark.createDataFrame([("http://h/", '<p>crawled start</p><a href="/a">a</a>'), ("http://h/a", "<p>crawled next</p>")], "url string, html string")
+    assert e.crawl(pages, ["http://h/"])["added"] == 2 and len(e.search("crawled").results) == 2 and "/crawled/http___h_.txt" in table()
+
+
+def test_logs(tmp_path) -> None:
+    import time
+
+    from tessera import logs
+
+    log = logs.set_up(str(tmp_path / "log"), "warn", console=False)
+    log.info("not this"), log.warning("this")
+    logs.set_up(str(tmp_path / "log"), "info", console=False)
+    p = logs.Periodic(lambda: "a report", 0.05).start()
+    time.sleep(0.3)
+    p.stop()
+    lines = (tmp_path / "log").read_text()
+    assert "[WARNING] this" in lines and "not this" not in lines and lines.count("METRICS:\na report") >= 2
+    logs.set_up("/nowhere/at/all", console=False)
+    logs.set_up(console=False)

@@ -145,8 +145,11 @@ def test_sources(spark, tmp_path) -> None:
     with zipfile.ZipFile(tmp_path / "f/w.docx", "w") as z:
         z.writestr("word/document.xml", "<w:p><w:t>gamma</w:t></w:p>")
     got = files.folder(spark, str(tmp_path / "f")).orderBy("doc_id").collect()
-    assert [(r["doc_id"], r["path"].rpartition("/")[2], r["content"].strip()) for r in got] == [(0, "a.txt", "alpha"), (1, "b.md", "beta"), (2, "w.docx", "gamma")]
-    assert [r["content"] for r in files.folder(spark, str(tmp_path / "f"), recursive=False, only=".txt").orderBy("doc_id").collect()] == ["alpha"]
+    assert [(r["doc_id"], r["path"].rpartition("/")[2], r["content"].strip(), r["size_bytes"] > 0) for r in got] == [(0, "a.txt", "alpha", True), (1, "e.txt", "", False), (2, "b.md", "beta", True), (3, "w.docx", "gamma", True)]
+    assert all(r["mtime"] > 1_600_000_000 for r in got)
+    plan = files.folder(spark, str(tmp_path / "f"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("binaryFile") == 0  # numbered and written: no file is read again
+    assert [r["content"] for r in files.folder(spark, str(tmp_path / "f"), recursive=False, only=".txt").orderBy("doc_id").collect()] == ["alpha", ""]
     assert files.file_list(spark, [str(tmp_path / "f/sub/b.md")]).first()["content"] == "beta"
     many = files.numbered(spark.range(5000).select(F.format_string("%05d", F.pmod(F.col("id") * 7919, F.lit(5000))).alias("path")))
     assert many.where("doc_id <> cast(path as long)").count() == 0
@@ -169,7 +172,11 @@ def test_document_table(spark, tmp_path) -> None:
     sinks.save_documents(spark, path, row("a", "one", 3, 1))
     sinks.save_documents(spark, path, row("b", "two", 3, 1))
     sinks.save_documents(spark, path, row("a", "three", 5, 2))
-    assert {(r["path"], r["content"]) for r in sinks.stored_documents(spark, path).collect()} == {("a", "three"), ("b", "two")}
+    stored = lambda: {(r["path"], r["content"]) for r in sinks.stored_documents(spark, path).collect()}
+    assert stored() == {("a", "three"), ("b", "two")}
+    for i in range(9):
+        sinks.save_documents(spark, path, row("c", str(i), 1, i), most_versions=5)
+        assert stored() == {("a", "three"), ("b", "two"), ("c", str(i))} and len(list((tmp_path / "t").glob("version=*"))) < 5
 
 
 def test_metrics(spark) -> None:
@@ -179,7 +186,10 @@ def test_metrics(spark) -> None:
     one = M.summary(rows).first()
     assert (one["queries"], one["cache_hits"], one["min_latency"], one["max_latency"], one["errors"]) == (10, 5, 1, 1 << 40, 1)
     assert M.summary(rows.limit(0)).first()["cache_hit_rate"] == 0
-    assert "query_latency_min_ms 1" in M.prometheus(M.summary(rows)).first()[0]
+    n = spark.range(1).selectExpr("7L n")
+    assert "query_latency_min_ms 1" in M.prometheus(rows, n).first()[0] and "docs_indexed_total 7\n" in M.prometheus(rows, n).first()[0]
+    text = M.report(rows, n).first()[0]
+    assert "[latency-buckets (ms): 1=2, 2=1, 4=2, 8=1, 16=0" in text and "2147483648=1]\n" in text and "ERRORS" not in text and "COUNTERS" not in text
 
 
 def test_lru() -> None:
