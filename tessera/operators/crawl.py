@@ -39,6 +39,7 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 50, max_depth: in
 
     Pages without text are neither reported nor followed.  Within a depth pages are
     taken in order of URL until max_pages are reached; the frontier holds only URLs.
+    Of several pages with one URL the one with the least html counts.
     """
     spark = pages.sparkSession
     rules = robots_rules(robots) if robots is not None else None
@@ -50,7 +51,7 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 50, max_depth: in
         open_ = frontier.where(url_parts(F.col("url")).isNotNull())
         if rules is not None:
             open_ = allowed(open_, rules)
-        got = pages.join(open_, "url", "left_semi").dropDuplicates(["url"]).withColumn("text", html_text(F.col("html"))).where(F.trim("text") != "")
+        got = pages.join(open_, "url", "left_semi").groupBy("url").agg(F.min("html").alias("html")).withColumn("text", html_text(F.col("html"))).where(F.trim("text") != "")
         got = got.orderBy("url").limit(left).select("url", "html", "text")
         got = written(got, "crawl")
         n = got.count()

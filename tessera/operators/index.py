@@ -155,6 +155,25 @@ def save(index: Index, path: str, partitions: int | None = None) -> None:
     index.stats.withColumn("format_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/stats")
 
 
+def save_shards(index: Index, path: str, shards: int) -> None:
+    """As ``save``, with documents and postings in a folder for each shard (by path), which can be read by itself."""
+    place = F.pmod(F.xxhash64("path"), F.lit(shards)).cast("int").alias("shard")
+    homes = index.docs.select("doc_id", place)
+    write = lambda t, name: t.write.mode("overwrite").partitionBy("shard").option("compression", "zstd").parquet(f"{path}/{name}")
+    write(index.docs.withColumn("shard", place).repartition(shards, "shard"), "docs")
+    # several tasks to a shard, by term: a shard is as large as its documents are many
+    write(index.postings.join(homes, "doc_id").repartition("shard", "term").sortWithinPartitions("shard", "term", "doc_id"), "postings")
+    index.vocab.sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/vocab")
+    index.stats.withColumn("format_version", F.lit(VERSION)).write.mode("overwrite").parquet(f"{path}/stats")
+
+
+def load_shards(spark: SparkSession, path: str, analyzer: Analyzer = Analyzer(), only: list[int] | None = None) -> Index:
+    """All shards' documents and postings, or those of some; vocabulary and statistics are always the whole index's."""
+    whole = load(spark, path, analyzer)
+    mine = lambda t: (t if only is None else t.where(F.col("shard").isin(only))).drop("shard")
+    return replace(whole, docs=mine(whole.docs), postings=mine(whole.postings))
+
+
 def load(spark: SparkSession, path: str, analyzer: Analyzer = Analyzer()) -> Index:
     stored = spark.read.parquet(f"{path}/stats")
     found = stored.first()

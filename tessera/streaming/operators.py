@@ -7,11 +7,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..workspace import shared_dir
+from ..workspace import discard, shared_dir, written
 
 LIMIT, WINDOW_US = 60, 60_000_000
 
@@ -28,16 +29,28 @@ def _decide(times: np.ndarray, count: int, start: int | None, limit: int, window
 
 
 def rate_limit(requests: DataFrame, limit: int = LIMIT, window_us: int = WINDOW_US) -> DataFrame:
-    """(key, ts, event_id, allowed) of requests (key, ts, event_id); a key's requests in order of time and id."""
-
-    def decide(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["us", "event_id"], kind="stable")
-        rows["allowed"] = _decide(rows["us"].to_numpy(), 0, None, limit, window_us)[0]
-        return rows[["key", "ts", "event_id", "allowed"]]
+    """(key, ts, event_id, allowed) of requests (key, ts, event_id); a key's requests in order of time and id.
+
+    A key's decisions depend on one another, so that they are one task's; sorted by Spark they
+    pass through it batch by batch, and all it holds of a key is its window's start and count.
+    """
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, count, start = None, 0, None
+        for b in batches:
+            keys, us = b.column("key"), b.column("us").to_numpy()
+            rows = keys.to_pylist()
+            allowed = np.zeros(len(rows), bool)
+            cut = [i for i in range(len(rows)) if not i or rows[i] != rows[i - 1]] + [len(rows)]
+            for a, e in zip(cut[:-1], cut[1:]):
+                if own is None or own[0] != rows[a]:
+                    own, count, start = (rows[a],), 0, None
+                allowed[a:e], count, start = _decide(us[a:e], count, start, limit, window_us)
+            yield pa.RecordBatch.from_arrays([keys, b.column("ts"), b.column("event_id"), pa.array(allowed)], ["key", "ts", "event_id", "allowed"])
 
     rows = requests.select("key", "ts", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
     kind = dict(requests.dtypes)
-    return rows.groupBy("key").applyInPandas(decide, f"key {kind['key']}, ts {kind['ts']}, event_id {kind['event_id']}, allowed boolean")
+    return rows.repartition("key").sortWithinPartitions("key", "us", "event_id").mapInArrow(decide, f"key {kind['key']}, ts {kind['ts']}, event_id {kind['event_id']}, allowed boolean")
 
 
 def rate_limit_stream(requests: DataFrame, limit: int = LIMIT, window_us: int = WINDOW_US) -> DataFrame:
@@ -84,15 +97,22 @@ def settled(stream: DataFrame, name: str, mode: str) -> DataFrame:
     return spark.read.schema(stream.schema).parquet(f"{at}/out").select(*stream.columns)
 
 
-def ingest(source: DataFrame, target: str, checkpoint: str):
-    """Append documents of a stream whose path isn't in the target yet, once for each batch."""
+def ingest(source: DataFrame, target: str, checkpoint: str, wal: str | None = None):
+    """Append documents of a stream whose path isn't in the target yet, once for each batch; with ``wal``, after an ADD in the log.
+
+    Of the target only the paths are read.  A batch that is run again after a failure adds nothing twice.
+    """
     from ..sources.sinks import _exists
 
-    def add(batch: DataFrame, _: int) -> None:
+    def add(batch: DataFrame, number: int) -> None:
         fresh = batch.dropDuplicates(["path"])
         if _exists(batch.sparkSession, target):
             fresh = fresh.join(batch.sparkSession.read.parquet(target).select("path"), "path", "left_anti")
+        if wal:
+            fresh = written(fresh, "ingest")
+            fresh.select((F.lit(number << 40) + F.monotonically_increasing_id()).alias("seq"), F.lit("ADD").alias("op"), "path").write.mode("append").parquet(wal)
         fresh.write.mode("append").parquet(target)
+        discard(fresh)
 
     return source.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

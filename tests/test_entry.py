@@ -28,6 +28,20 @@ def test_imports_without_the_subpackage(tmp_path) -> None:
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=120)
 
 
+def test_a_broken_subpackage_is_an_error(tmp_path) -> None:
+    """Only its absence is passed over, not what goes wrong within it."""
+    import shutil
+
+    shutil.copytree(ROOT / "tessera", tmp_path / "tessera", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(ROOT / "__spark_entry__.py", tmp_path)
+    (tmp_path / "tessera/llm").mkdir()
+    (tmp_path / "tessera/llm/__init__.py").write_text("")
+    (tmp_path / "tessera/llm/queries.py").write_text("import not_there_at_all")
+    (tmp_path / "corpus_pipeline.py").write_text("run = None")
+    code = "import __spark_entry__"
+    assert b"not_there_at_all" in subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, timeout=120).stderr
+
+
 def test_nothing_else_imports_the_subpackage() -> None:
     for path in (ROOT / "tessera").rglob("*.py"):
         if "llm" in path.relative_to(ROOT).parts:

@@ -264,6 +264,19 @@ def test_rebuild_update_and_remove(spark, tmp_path) -> None:
     assert e.crawl(pages, ["http://h/"])["added"] == 2 and len(e.search("crawled").results) == 2 and "/crawled/http___h_.txt" in table()
 
 
+def test_shards(spark, index, tmp_path) -> None:
+    """Each document is in the shard of its path, with its postings; together they are the index, and so are merged results."""
+    I.save_shards(index, str(tmp_path / "s"), 3)
+    assert {p.name for p in (tmp_path / "s/postings").iterdir() if "=" in p.name} <= {"shard=0", "shard=1", "shard=2"}
+    whole = I.load_shards(spark, str(tmp_path / "s"))
+    rows = lambda t: sorted(map(str, t.collect()))
+    assert rows(whole.postings) == rows(index.postings.select(*whole.postings.columns)) and rows(whole.docs.select("doc_id")) == rows(index.docs.select("doc_id"))
+    parts = [I.load_shards(spark, str(tmp_path / "s"), only=[n]) for n in range(3)]
+    merged = sorted((-r[1], r[0]) for p in parts for r in R.top(R.score_bm25(p, ["red", "fox"]), 2).collect())[:2]
+    assert [d for _, d in merged] == [r[0] for r in R.top(R.score_bm25(index, ["red", "fox"]), 2).collect()]
+    assert sum(p.docs.count() for p in parts) == len(DOCS)
+
+
 def test_logs(tmp_path) -> None:
     import time
 

@@ -84,6 +84,8 @@ def test_rate_limit_batch_and_stream(spark, tmp_path) -> None:
     want = {(k, i): ok for k, ts in per.items() for i, ok in enumerate(_windows(ts, 40, 60_000_000))}
     got = {(r["key"], r["event_id"]): r["allowed"] for r in ST.rate_limit(table, 40).collect()}
     assert got == want and not all(want.values())
+    odd = table.union(spark.createDataFrame([(None, 5, 1), (None, 5, 1)], "key string, us long, event_id long").select("key", F.timestamp_micros("us"), "event_id"))
+    assert ST.rate_limit(odd, 40).where("key is null and allowed").count() == 2
     for n, (lo, hi) in enumerate([(0, 70), (70, 150)]):  # two files, two batches
         table.where((F.col("event_id") >= lo) & (F.col("event_id") < hi)).coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
     stream = spark.readStream.schema(table.schema).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
@@ -105,8 +107,10 @@ def test_ingest_and_replay_streams(spark, tmp_path) -> None:
     for n, rows in enumerate([[("p", "1"), ("q", "2")], [("q", "9"), ("r", "3"), ("r", "3")]]):
         spark.createDataFrame(rows, "path string, content string").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
         source = spark.readStream.schema("path string, content string").option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
-        ST.ingest(source, target, str(tmp_path / "ck")).awaitTermination(120)
+        ST.ingest(source, target, str(tmp_path / "ck"), str(tmp_path / "added")).awaitTermination(120)
     assert {tuple(r) for r in spark.read.parquet(target).collect()} == {("p", "1"), ("q", "2"), ("r", "3")}
+    added = spark.read.parquet(str(tmp_path / "added")).orderBy("seq").collect()
+    assert {r["path"] for r in added[:2]} == {"p", "q"} and [(r["op"], r["path"]) for r in added[2:]] == [("ADD", "r")]
     sinks.append_wal(spark, str(tmp_path / "wal"), [(1, "ADD", "a"), (2, "REINDEX", ""), (3, "REMOVE", "b")])
     wal = spark.readStream.schema("seq long, op string, path string").parquet(str(tmp_path / "wal"))
     ST.replay(wal, lambda todo, anew: seen.append(({tuple(r) for r in todo.collect()}, anew)), str(tmp_path / "ck2")).awaitTermination(120)
@@ -133,6 +137,8 @@ def test_crawl(spark) -> None:
     assert reach(["http://h/"], 50, 1) == {("h/", 0), ("h/a", 1), ("h/b", 1)}
     assert reach(["http://h/"], 2, 3) == {("h/", 0), ("h/a", 1)}
     assert reach(["no url"], 5, 3) == set()
+    twice = pages.union(spark.createDataFrame([("http://h/", "<z>later</z>"), ("http://h/", None)], "url string, html string"))
+    assert {r["url"][7:] for r in C.crawl(twice, ["http://h/"], 50, 3).collect()} == {r[0] for r in reach(["http://h/"], 50, 3)}
     robots = spark.createDataFrame([("h", "User-agent: other\nDisallow: /a\n\nUser-agent: *\n# all\nDisallow: /private\nDisallow:\n")], "host string, body string")
     assert ("h/private/p", 2) not in reach(["http://h/"], 50, 3, robots=robots) and ("h/a", 1) in reach(["http://h/"], 50, 3, robots=robots)
 
