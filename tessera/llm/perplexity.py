@@ -50,6 +50,7 @@ from pyspark.sql import functions as F
 from .textbytes import mix64, runs
 from .workspace import discard, new_path, written
 
+#: Of 6, which was tried, fewer of the labelled junk documents are told apart: a model of the texts that it scores remembers them.
 ORDER = 5
 _PAD = 10
 
@@ -60,8 +61,8 @@ class Params:
     upper: float = 6.0
     widening: float = 2.0
     long_bytes: int = 1500
-    #: Entries (of 12 bytes, and 8 of index) of the model that a Python worker holds at a time.
-    part_entries: int = 16_000_000
+    #: Entries (of 12 bytes, and 4 to 8 of index) of the model that a Python worker holds at a time.
+    part_entries: int = 12_000_000
     tail: float = 0.002
     least_clean: int = 200
 
@@ -164,7 +165,7 @@ def model_table(docs: DataFrame, languages: list[str | None]) -> DataFrame:
 
 
 def _key(kind: int, l: np.ndarray, g: np.ndarray) -> np.ndarray:
-    return mix64((np.uint64(kind) << np.uint64(59)) | (l << np.uint64(40)) | g)
+    return mix64((np.uint64(kind) << np.uint64(59)) | (l << np.uint64(8 * ORDER)) | g)
 
 
 class SortedHashes:
@@ -172,7 +173,7 @@ class SortedHashes:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.keys, self.values = keys, values
-        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length() + 1))
+        self.shift = np.uint64(64 - max(4, int(len(keys)).bit_length()))
         self.start = np.searchsorted(self.keys, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
         self.start = np.append(self.start, len(keys)).astype(np.int32)
 
@@ -192,7 +193,7 @@ class SortedHashes:
 
 
 def _kind_code(kind: int) -> int:
-    return kind if kind < 10 else kind - 10 + 8 + 6  # 1..5, and 14..18 for contexts
+    return kind if kind < 10 else kind - 10 + 8 + 6  # up to 13, and 14 and more for contexts: five bits, above those of the language
 
 
 _FLIP = np.uint64(1 << 63)  # signed numbers in the order of unsigned ones
@@ -211,7 +212,7 @@ def stored(spark: SparkSession, rows: DataFrame) -> list[str]:
             yield pa.RecordBatch.from_arrays([pa.array((keys ^ _FLIP).view(np.int64)), b.column("v").cast(pa.float32())], ["k", "v"])
 
     path = new_path(spark, "arrays")
-    n = max(1, -(-rows.count() // 4_000_000))
+    n = max(1, -(-rows.count() // 1_000_000))
     rows.select("kind", "l", "g", "v").mapInArrow(keyed, "k long, v float").repartitionByRange(n, "k").sortWithinPartitions("k").write.parquet(path)
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = sorted(f.getPath().toString() for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at) if f.getPath().getName().endswith(".parquet"))
@@ -228,9 +229,16 @@ def fetched(names: list[str]) -> SortedHashes:
     key = tuple(names)
     if key not in _held:
         _held.clear()
-        tables = [pq.read_table(SparkFiles.get(n)) for n in names]
-        keys = np.concatenate([t["k"].to_numpy().view(np.uint64) ^ _FLIP for t in tables])
-        _held[key] = SortedHashes(keys, np.concatenate([t["v"].to_numpy() for t in tables]))
+        files = [pq.ParquetFile(SparkFiles.get(n)) for n in names]
+        n = sum(f.metadata.num_rows for f in files)
+        keys, values, at = np.empty(n, np.uint64), np.empty(n, np.float32), 0
+        for f in files:
+            for b in f.iter_batches(1 << 18):
+                end = at + b.num_rows
+                keys[at:end] = b.column("k").to_numpy().view(np.uint64) ^ _FLIP
+                values[at:end] = b.column("v").to_numpy()
+                at = end
+        _held[key] = SortedHashes(keys, values)
     return _held[key]
 
 
