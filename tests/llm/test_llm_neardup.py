@@ -93,7 +93,7 @@ order = lambda rows: sorted(rows, key=str)
 
 @pytest.mark.parametrize(
     "seed, params",
-    [(1, N.Params()), (2, N.Params(block=3)), (3, N.Params(k=32, matches=12)), (4, N.Params(k=16, matches=16)), (5, N.Params(k=32, matches=1, width=2)), (6, N.Params(k=32, matches=6, block=5)), (7, N.Params(k=32, matches=24, width=1, block=4))],
+    [(1, N.Params(block=3)), (4, N.Params(k=16, matches=16)), (5, N.Params(k=32, matches=1, width=2)), (7, N.Params(k=32, matches=24, width=1, block=4))],
 )
 def test_links_against_all_signatures(spark, seed: int, params: N.Params) -> None:
     """Also with lists cut into tiny blocks, and thresholds so low that distances tell little."""
