@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -119,15 +120,24 @@ class Index:
 _BASE = ("doc_id", "path", "size_bytes", "mtime", "content")
 
 
-def assembled(docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0) -> Index:
-    """An index of documents (doc_id, path, size_bytes, mtime, content) and postings (term, doc_id, tf, positions): all that follows from them."""
+def _as_it_is(df: DataFrame, _: str) -> DataFrame:
+    return df
+
+
+def assembled(docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0, keep: Callable[[DataFrame, str], DataFrame] = _as_it_is) -> Index:
+    """An index of documents (doc_id, path, size_bytes, mtime, content) and postings (term, doc_id, tf, positions): all that follows from them.
+
+    keep: what is done with tables that several others follow from.
+    """
     docs, posted = docs.select(*_BASE), posted.drop("dl", "norm")
     n = docs.agg(F.count("*").alias("n"))
-    vocab = with_idf(vocabulary(posted), n)
+    vocab = keep(with_idf(vocabulary(posted), n), "vocabulary")
     w = (1 + F.log("tf")) * F.col("idf")
     each = posted.select("term", "doc_id", "tf").join(vocab.select("term", "idf"), "term").groupBy("doc_id").agg(F.sum("tf").alias("dl"), F.sqrt(F.sum(w * w)).alias("norm"))
+    each = keep(each, "lengths")
     measured = docs.join(each, "doc_id", "left").withColumn("dl", F.coalesce("dl", F.lit(0))).withColumn("norm", F.coalesce("norm", F.lit(0.0)))
-    return Index(measured, posted.join(each, "doc_id").select("term", "doc_id", "tf", "dl", "norm", "positions"), vocab, stats(measured), analyzer, version)
+    lengths_only = docs.select("doc_id").join(each.select("doc_id", "dl"), "doc_id", "left").select(F.coalesce("dl", F.lit(0)).alias("dl"))
+    return Index(measured, posted.join(each, "doc_id").select("term", "doc_id", "tf", "dl", "norm", "positions"), vocab, stats(lengths_only), analyzer, version)
 
 
 def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), version: int = 0) -> Index:
@@ -137,11 +147,15 @@ def build(docs: DataFrame, analyzer: Analyzer = Analyzer(), version: int = 0) ->
 
 def stored(spark: SparkSession, docs: DataFrame, posted: DataFrame, analyzer: Analyzer, version: int = 0) -> Index:
     """An index whose tables are written to the shared folder: queries scan them, and nothing is computed again."""
-    posted = written(posted.drop("dl", "norm"), "postings")
-    docs = written(docs.select(*_BASE), "documents")
+    kept = []
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        kept.append(written(df, name))
+        return kept[-1]
+
     path = new_path(spark, "index")
-    save(assembled(docs, posted, analyzer, version), path)
-    discard(posted, docs)
+    save(assembled(keep(docs.select(*_BASE), "documents"), keep(posted.drop("dl", "norm"), "postings"), analyzer, version, keep), path)
+    discard(*kept)
     return replace(load(spark, path, analyzer), version=version, path=path)
 
 
