@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,7 +54,3 @@ def snippets(docs: DataFrame, words: list[str], window: int = 300) -> DataFrame:
     best = seen.groupBy("doc_id").agg(F.max(F.struct("n", (-F.col("pos")).alias("first"), "left")).alias("b")).select("doc_id", F.col("b.left").alias("best"))
     cut = F.when(F.col("best").isNull(), plain).otherwise(_cut(F.col("content"), F.col("best"), window))
     return docs.join(best, "doc_id", "left").select("doc_id", F.coalesce(empty, cut).alias("snippet"))
-
-
-def contains_all(text: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a & b, [F.contains(ascii_lower(text), F.lit(w.lower())) for w in words], F.lit(True))

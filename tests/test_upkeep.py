@@ -185,6 +185,16 @@ def test_document_table(spark, tmp_path) -> None:
         assert stored() == {("a", "three"), ("b", "two"), ("c", str(i))} and len(list((tmp_path / "t").glob("version=*"))) < 5
 
 
+def test_documents_from_a_database(spark) -> None:
+    """By one connection, and by several over ranges of the id."""
+    url = "jdbc:derby:memory:docs;create=true"
+    rows = [(i, f"p{9 - i}", f"text {i}", i, 1000 + i) for i in range(10)]
+    spark.createDataFrame(rows, "id long, path string, content string, size_bytes long, mtime long").write.jdbc(url, "documents", properties={"driver": "org.apache.derby.iapi.jdbc.AutoloadedDriver"})
+    for options in ({}, {"partitionColumn": "id", "lowerBound": "0", "upperBound": "10", "numPartitions": "3"}):
+        got = files.jdbc_documents(spark, url, driver="org.apache.derby.iapi.jdbc.AutoloadedDriver", **options).orderBy("doc_id").collect()
+        assert [tuple(r) for r in got] == [(i, p, s, m, t) for i, p, t, s, m in rows]
+
+
 def test_metrics(spark) -> None:
     ms = [0, 1, 2, 3, 4, 5, 1023, 1024, 1025, 1 << 40]
     rows = spark.createDataFrame([(m, m % 2 == 0, "bad" if m == 5 else None) for m in ms], "latency_ms long, cache_hit boolean, error string")
