@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.web import file_name, html_text, links, page_file, resolve, url_parts
-from ..workspace import written
+from ..workspace import discard, written
 
 AGENT = "tessera"
 
@@ -60,8 +60,10 @@ def crawl(pages: DataFrame, seeds: list[str], max_pages: int = 50, max_depth: in
         left -= n
         if not n or left <= 0 or depth == max_depth:
             break
+        seen, asked = visited, frontier
         visited = written(visited.union(frontier).distinct(), "visited")
         frontier = written(page_links(got).where("target is not null").select(F.col("target").alias("url")).distinct().join(visited, "url", "left_anti"), "frontier")
+        discard(seen, asked)
     return out
 
 

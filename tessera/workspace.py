@@ -26,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has yet."""
-    return f"{shared_dir(spark)}/tessera-{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}-{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -48,3 +48,17 @@ def discard(*tables: DataFrame) -> None:
     for t in tables:
         if path := t.__dict__.pop("_written", None):
             delete(t.sparkSession, path)
+
+
+def passed_on(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df, which is all that reads the written table ``source``, to be discarded in its place."""
+    if path := source.__dict__.pop("_written", None):
+        df.__dict__["_written"] = path
+    return df
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application has written to the shared folder: results that weren't written elsewhere can't be read after it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessera-{spark.sparkContext.applicationId}-*")
+    for f in at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or ():
+        delete(spark, f.getPath().toString())

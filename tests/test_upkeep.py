@@ -208,6 +208,20 @@ def test_metrics(spark) -> None:
     assert "[latency-buckets (ms): 1=2, 2=1, 4=2, 8=1, 16=0" in text and "2147483648=1]\n" in text and "ERRORS" not in text and "COUNTERS" not in text
 
 
+def test_written_tables_can_be_cleared(spark) -> None:
+    from pathlib import Path
+
+    from tessera import workspace as W
+
+    one, two = W.written(spark.range(5), "one"), W.written(spark.range(6), "two")
+    at = lambda: {p.name.split("-")[-2] for p in Path(W.shared_dir(spark).removeprefix("file:")).iterdir() if p.name.startswith(f"tessera-{spark.sparkContext.applicationId}-")}
+    assert {"one", "two"} <= at() and one.count() == 5
+    W.discard(W.passed_on(one.select("id"), one), one)
+    assert "one" not in at() and two.count() == 6
+    W.clear(spark)
+    assert not at()
+
+
 def test_lru() -> None:
     c: LRU[int] = LRU(2)
     c.put("a", 1), c.put("b", 2), c.get("a"), c.put("c", 3)
