@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .workspace import fresh, row_hash, unit_hash, written
+from .workspace import discard, fresh, row_hash, unit_hash, written
 
 #: Rows up to which the table of exponents is sent to every executor.
 BROADCAST_ROWS = 100_000
@@ -146,6 +146,7 @@ def exponents(docs: DataFrame, params: Params = Params()) -> DataFrame:
         return out
 
     _, found = solve([c[:3] for c in cells], evaluate, mean, params)
+    discard(histogram)
     return spark.createDataFrame(found, kind)
 
 

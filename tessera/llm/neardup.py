@@ -55,7 +55,7 @@ from pyspark.sql import types as T
 
 from .shingles import signatures
 from .textbytes import Hasher
-from .workspace import discard, fresh, row_hash, written
+from .workspace import discard, fresh, passed_on, row_hash, written
 
 
 @dataclass(frozen=True)
@@ -175,7 +175,9 @@ def _prefixes(classes: DataFrame, params: Params) -> DataFrame:
             yield _batch({"class": pa.array(ids[chosen]), "pair": pa.array(pair[chosen]), "held": pa.array(n[chosen]), "prefix": pa.array(mask[chosen])})
 
     live = posted.join(held, "pair").repartition("class").sortWithinPartitions("class", "held", "pair")
-    return written(live.select("class", "pair", "held").mapInArrow(choose, "class long, pair long, held long, prefix long"), "prefixes")
+    prefixes = written(live.select("class", "pair", "held").mapInArrow(choose, "class long, pair long, held long, prefix long"), "prefixes")
+    discard(held)
+    return prefixes
 
 
 def _blocked(lists: DataFrame, params: Params, across: bool) -> DataFrame:
@@ -244,7 +246,7 @@ def components(edges: DataFrame) -> DataFrame:
         discard(last)
         stand = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if stand == before or not stand[0]:
-            return now.select(F.col("b").alias("node"), F.col("a").alias("root"))
+            return passed_on(now.select(F.col("b").alias("node"), F.col("a").alias("root")), now)
         before = stand
 
 
@@ -262,7 +264,8 @@ def class_components(classes: DataFrame, prefixes: DataFrame, params: Params) ->
     if not long.isEmpty():
         apart = _rooted(long, roots).groupBy("pair").agg(F.min("root").alias("least"), F.max("root").alias("most")).where("least < most").select("pair")
         more = _merged_links(_blocked(long.join(apart, "pair").join(signed, "class"), params, across=True), params)
-        roots = components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+        first, roots = roots, components(roots.select(F.col("root").alias("a"), F.col("node").alias("b")).union(more))
+        discard(first)
     discard(links)
     return roots
 
@@ -325,7 +328,7 @@ def class_links(classes: DataFrame, roots: DataFrame, prefixes: DataFrame, param
     sure = known.select("class", (near - F.when(F.col("d") * 2 <= far, F.col("n")).otherwise(0)).alias("links"))
     unsure = known.where(F.col("d") + F.col("most") > far).select("class", "root", "n", "sig", "d")
     counted = sure if unsure.isEmpty() else sure.union(_compared(prefixes.join(unsure, "class"), params))
-    return counted.groupBy("class").agg(F.sum("links").alias("links"))
+    return passed_on(counted.groupBy("class").agg(F.sum("links").alias("links")), members)
 
 
 def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
@@ -340,6 +343,7 @@ def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
     known = _rooted(classes.select("class", "first", "n"), roots).join(links, "class", "left")
     labels = known.groupBy("root").agg(F.min("first").alias("class_id"))
     known = written(known.join(labels, "root").select("class", "first", "n", "class_id", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links")), "known")
+    discard(prefixes, roots, links)
     single = known.where("n = 1").select(F.col("first").alias("doc_id"), "class_id", "links")
     several = signed.join(classes.where("n > 1").select("sig", "class"), "sig").select("doc_id", "class").join(known.where("n > 1").select("class", "class_id", "links"), "class").drop("class")
     bare = signed.where("sig is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("links"))
@@ -347,12 +351,15 @@ def linked(docs: DataFrame, params: Params = Params()) -> DataFrame:
 
 
 def _by_class(docs: DataFrame, params: Params) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, sig) of every row; (sig, n, root, class_id) of the classes."""
+    """(doc_id, sig) of every row; (sig, root, class_id, first, n) of the classes."""
     signed, classes = signature_classes(docs, params)
-    roots = class_components(classes, _prefixes(classes, params), params)
-    known = _rooted(classes, roots)
-    labels = known.groupBy("root").agg(F.min("first").alias("class_id"), F.sum("n").alias("rows"))
-    return signed, written(known.join(labels, "root").select("sig", "root", "class_id", "first", "n", "rows"), "known")
+    prefixes = _prefixes(classes, params)
+    roots = class_components(classes, prefixes, params)
+    rooted = _rooted(classes, roots)
+    labels = rooted.groupBy("root").agg(F.min("first").alias("class_id"))
+    known = written(rooted.join(labels, "root").select("sig", "root", "class_id", "first", "n"), "known")
+    discard(prefixes, roots, classes)
+    return signed, known
 
 
 def groups(docs: DataFrame, params: Params = Params()) -> DataFrame:

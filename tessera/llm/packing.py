@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .mixing import tokens
-from .workspace import row_hash, written
+from .workspace import discard, row_hash, written
 
 
 @dataclass(frozen=True)
@@ -147,6 +147,7 @@ def bins(docs: DataFrame, params: Params = Params()) -> DataFrame:
     counts = {r[0]: r[1] for r in sized.where("rest > 0").groupBy("rest").count().collect()}  # fewer rows than a bin has tokens
     shared = docs.sparkSession.sparkContext.broadcast(Places(plan(counts, capacity), capacity))
     numbered = _numbered(sized)
+    discard(sized)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -323,6 +323,7 @@ def scores(docs: DataFrame, params: Params, languages: list[str | None]) -> Data
                 yield pa.RecordBatch.from_arrays([b.column("place"), b.column("doc_id"), pa.array(lang.astype(np.int32)), *(pa.array(x) for x in sums)], ["place", "doc_id", "l", "s", "s2", "n"])
 
         passes.append(texts.mapInArrow(score, "place long, doc_id long, l int, s double, s2 double, n double"))
+    discard(model)
     if len(passes) == 1:
         return passes[0].drop("place")
     table = passes[0]

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..workspace import delete, discard, new_path, shared_dir, written
+from ..workspace import delete, discard, new_path, passed_on, shared_dir, written
 
-__all__ = ["delete", "discard", "fresh", "new_path", "row_hash", "shared_dir", "table", "unit_hash", "written"]
+__all__ = ["delete", "discard", "fresh", "new_path", "passed_on", "row_hash", "shared_dir", "table", "unit_hash", "written"]
 
 
 def fresh(taken: list[str], *names: str) -> list[str]:
