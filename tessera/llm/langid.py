@@ -9,10 +9,15 @@ Nyström factor and ridge weights fold into one matrix, and a batch of
 documents is scored by one product: presence x folded, scaled by row.  The presence
 matrix is sparse and never made: its product is a sum of ``folded``'s rows by document.
 
+The regression and its limits come from every labelled row.  Only the landmarks, the
+basis of the Nyström map, are some of them: those of each language with the least hash.
+The regression needs no more than sums over the rows of products of their kernel values, which each
+task adds up for the rows that it reads.
+
 ``fit`` sets what a text must reach.  The scores of L languages add up to 2 - L,
-so that the best is never below 2 / L - 1.  Every fifth row of the sample is held
-out of a first fit; the quantile ``tail`` of the held-out rows' best scores, moved by
-``slack`` of the way to that floor, is the least score (with one language there is
+so that the best is never below 2 / L - 1.  The rows are in ``FOLDS`` parts by hash, and each is
+scored by a model of the other parts' rows and landmarks; the quantile ``tail`` of all these held-out
+best scores, moved by ``slack`` of the way to that floor, is the least score (with one language there is
 none), and that of their known shares, moved as much to ``min_known``, the least known share.
 
 A text's letters are lower-cased; every other ASCII byte counts as a space.
@@ -22,10 +27,10 @@ Results in odd cases
   * a text that no language's regression claims (every score below the
     least), or of whose distinct n-grams the landmarks have less than
     the least known share (another script or language): rejected.
-  * fewer than ``least_held`` held-out rows: ``min_score`` and ``min_known`` are the limits.
+  * fewer than ``least_held`` labelled rows a part: ``min_score`` and ``min_known`` are the limits.
   * two languages with equal scores: the first in alphabetical order.
-  * null ``doc_id``: classified like any other row.  Repeated rows: each row.  The sample is
-    drawn by a hash of doc_id and text, and takes equal rows once, so that neither empties or floods it.
+  * null ``doc_id``: classified like any other row.  Repeated rows: each row, in the fit too.  Landmarks
+    are drawn by a hash of doc_id and text, equal rows once, so that neither leaves them out or floods them.
   * ``lang`` null in the labelled rows: such rows are not used for the fit.
   * no labelled row at all (an empty table): every text is rejected.
   * further columns, whatever their names, pass through ``keep_accepted``.
@@ -38,11 +43,14 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textbytes import runs
-from .workspace import row_hash, unit_hash
+from .workspace import discard, row_hash, unit_hash, written
+
+FOLDS = 5
 
 _FOLD = np.arange(256, dtype=np.uint8)
 for _i in range(128):
@@ -53,7 +61,7 @@ _B = np.uint64(24)
 
 @dataclass(frozen=True)
 class Params:
-    #: Bound of the labelled sample the classifier is fitted on, per language.
+    #: All labelled rows of a language count, alike, and together as no more than this many: no language outweighs others.
     train_per_language: int = 400
     landmarks_per_language: int = 60
     ridge: float = 1e-2
@@ -152,65 +160,196 @@ def texts_presence(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarra
     return out, np.array([max(1, len(x)) for x in out], float)
 
 
-def fit_rows(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
-    """Fit on (language, text) rows, in the order given."""
-    rows = [(lang, text) for lang, text in rows if lang is not None and text]
-    languages = tuple(sorted({lang for lang, _ in rows}))
-    if not languages:
-        return Model((), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), params.min_score)
-    codes, size = texts_presence([text for _, text in rows])
+def chosen(languages: list[str], params: Params) -> list[int]:
+    """The first rows of each language, of rows given by their languages."""
     taken: dict[str, int] = {}
-    landmarks = []
-    for i, (lang, _) in enumerate(rows):
+    out = []
+    for i, lang in enumerate(languages):
         taken[lang] = taken.get(lang, 0) + 1
         if taken[lang] <= params.landmarks_per_language:
-            landmarks.append(i)
-    marks = Landmarks([codes[i] for i in landmarks])
-    kernel = marks.shared(codes) / np.sqrt(size[:, None] * size[landmarks])
-    values, vectors = np.linalg.eigh(kernel[landmarks])
+            out.append(i)
+    return out
+
+
+def moments(kernel: np.ndarray, lang: np.ndarray, weight: np.ndarray, languages: int) -> np.ndarray:
+    """Weighted sums over rows: of products of kernel values, and below, by language, of kernel values and (last column) of ones."""
+    own = (lang[:, None] == np.arange(languages)) * weight[:, None]
+    return np.hstack([kernel * weight[:, None], own]).T @ np.hstack([kernel, np.ones((len(kernel), 1))])
+
+
+def solved(languages: tuple[str, ...], codes: list[np.ndarray], size: np.ndarray, sums: np.ndarray, params: Params) -> Model:
+    """The model of landmarks (their n-grams' codes and numbers) and of the rows' moments with them."""
+    marks, m = Landmarks(codes), len(codes)
+    products, by_lang, rows = sums[:m, :m], sums[m:, :m], sums[m:, m]
+    n, total = rows.sum(), by_lang.sum(0)
+    values, vectors = np.linalg.eigh(marks.shared(codes) / np.sqrt(size[:, None] * size))
     keep = values > 1e-8 * values.max()
     root = vectors[:, keep] / np.sqrt(values[keep])  # K_mm^(-1/2), up to a rotation
-    phi = kernel @ root
-    y = np.array([[1.0 if lang == own else -1.0 for lang in languages] for own, _ in rows])
-    mean, bias = phi.mean(0), y.mean(0)
-    centred = phi - mean
-    weights = np.linalg.solve(centred.T @ centred + params.ridge * len(rows) * np.eye(phi.shape[1]) / phi.shape[1], centred.T @ (y - bias))
-    folded = marks.folded((root @ weights) / np.sqrt(size[landmarks])[:, None])
+    mean, bias = total @ root / n, 2 * rows / n - 1  # of features, and of targets: 1 for the own language, -1 for others
+    centred = root.T @ (products - np.outer(total, total) / n) @ root
+    targets = root.T @ (2 * by_lang.T - total[:, None]) - n * np.outer(mean, bias)
+    weights = np.linalg.solve(centred + params.ridge * n * np.eye(len(mean)) / len(mean), targets)
+    folded = marks.folded((root @ weights) / np.sqrt(size)[:, None])
     return Model(languages, marks.grams, folded.astype(np.float32), bias - mean @ weights, params.min_score, params.min_known)
 
 
+def fit_rows(rows: list[tuple[str, str]], params: Params = Params()) -> Model:
+    """Fit on (language, text) rows that weigh alike; the first of each language are the landmarks."""
+    rows = [(lang, text) for lang, text in rows if lang is not None and text]
+    languages = tuple(sorted({lang for lang, _ in rows}))
+    if not languages:
+        return Model((), np.zeros(0, np.uint64), np.zeros((0, 0), np.float32), np.zeros(0), params.min_score)
+    codes, size = texts_presence([text for _, text in rows])
+    own = chosen([lang for lang, _ in rows], params)
+    kernel = Landmarks([codes[i] for i in own]).shared(codes) / np.sqrt(size[:, None] * size[own])
+    sums = moments(kernel, np.array([languages.index(lang) for lang, _ in rows]), np.ones(len(rows)), len(languages))
+    return solved(languages, [codes[i] for i in own], size[own], sums, params)
+
+
 def fit(docs: DataFrame, params: Params = Params()) -> Model:
-    """Fit on a bounded sample of the labelled rows: those of each language with the least hash."""
-    order = unit_hash(row_hash("doc_id", "text"), params.seed)
-    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", "text", order.alias("o"))
-    counts = {r[0]: r[1] for r in labelled.groupBy("lang").agg(F.approx_count_distinct("o")).collect()}
+    """Fit on every labelled row."""
+    row = row_hash("doc_id", "text")
+    labelled = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    labelled = labelled.select("lang", "text", unit_hash(row, params.seed).alias("o"), F.pmod(row, F.lit(FOLDS)).cast("int").alias("fold"))
+    counts, cut = drawn(labelled, params)
     if not counts:
         return fit_rows([], params)
-    share = F.coalesce(*[F.when(F.col("lang") == k, F.lit(min(1.0, 1.3 * (params.train_per_language + 20) / n))) for k, n in sorted(counts.items())])
-    rows = labelled.where(F.col("o") < share).groupBy("lang", "o").agg(F.min("text").alias("text")).toArrow().to_pylist()
-    rows.sort(key=lambda r: (r["o"], r["text"]))
-    left = dict.fromkeys(counts, params.train_per_language)
-    chosen = []
-    for r in rows:
-        if left[r["lang"]] > 0:
-            left[r["lang"]] -= 1
-            chosen.append((r["lang"], r["text"]))
-    return limited(fit_rows(chosen, params), chosen, params)
-
-
-def limited(model: Model, rows: list[tuple[str, str]], params: Params) -> Model:
-    """The model with the limits that held-out rows of its sample set."""
-    held = rows[4::5]
-    if len(held) < params.least_held:
+    languages = tuple(sorted(counts))
+    within = F.coalesce(*[F.when(F.col("lang") == k, F.lit(cut[k])) for k in languages])
+    marks = labelled.where(F.col("o") <= within).groupBy("lang", "fold", "o").agg(F.min("text").alias("text")).toArrow().to_pylist()
+    marks.sort(key=lambda r: (r["o"], r["text"]))
+    codes, size = texts_presence([r["text"] for r in marks])
+    sums = summed(labelled, languages, np.array([min(1.0, params.train_per_language / counts[k]) for k in languages]), codes, size)
+
+    def without(fold: int) -> Model | None:
+        """The model of the other parts' rows and landmarks."""
+        rest = [i for i, r in enumerate(marks) if r["fold"] != fold]
+        own = [rest[i] for i in chosen([marks[i]["lang"] for i in rest], params)]
+        total = sum(s for f, s in sums.items() if f != fold)
+        if not own:
+            return None
+        there = [j for j in range(len(languages)) if total[len(marks) + j, -1] > 0]
+        total = total[np.ix_([*own, *(len(marks) + j for j in there)], [*own, len(marks)])]
+        return solved(tuple(languages[j] for j in there), [codes[i] for i in own], size[own], total, params)
+
+    model = without(-1)
+    if sum(counts.values()) < FOLDS * params.least_held:
         return model
-    first = fit_rows([r for i, r in enumerate(rows) if i % 5 != 4], params)
-    _, top, known, letters = measured(first, pa.array([text for _, text in held], pa.large_string()))
-    if not letters.any():
+    return limited(model, [without(f) for f in range(FOLDS)], labelled, params)
+
+
+def drawn(labelled: DataFrame, params: Params) -> tuple[dict[str, int], dict[str, float]]:
+    """Number of rows of each language, and the hash up to which its landmarks lie, those of the models without a part included."""
+    most = params.landmarks_per_language
+
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[tuple[str, int], tuple[int, np.ndarray]] = {}
+        for b in batches:
+            names = b.column("lang").dictionary_encode()
+            key = names.indices.to_numpy().astype(np.int64) * FOLDS + b.column("fold").to_numpy()
+            o = b.column("o").to_numpy()
+            for k in np.unique(key):
+                at = names.dictionary[int(k) // FOLDS].as_py(), int(k) % FOLDS
+                n, had = kept.get(at, (0, o[:0]))
+                mine = o[key == k]
+                kept[at] = n + len(mine), np.unique(np.concatenate([had, mine]))[:most]
+        if kept:
+            lang, fold = zip(*kept)
+            n, o = zip(*kept.values())
+            yield pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(fold, pa.int32()), pa.array(n, pa.int64()), pa.array([x.tolist() for x in o], pa.list_(pa.float64()))], ["lang", "fold", "n", "o"])
+
+    parts = labelled.select("lang", "fold", "o").mapInArrow(least, "lang string, fold int, n long, o array<double>")
+    parts = parts.groupBy("lang", "fold").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("o")))), 1, most).alias("o"))
+    counts: dict[str, int] = {}
+    first: dict[str, list[tuple[float, int]]] = {}
+    for r in parts.collect():
+        counts[r["lang"]] = counts.get(r["lang"], 0) + r["n"]
+        first.setdefault(r["lang"], []).extend((o, r["fold"]) for o in r["o"])
+    cut = {k: max(o for f in range(-1, FOLDS) for o, _ in sorted(x for x in v if x[1] != f)[:most]) for k, v in first.items()}
+    return counts, cut
+
+
+def summed(labelled: DataFrame, languages: tuple[str, ...], weight: np.ndarray, codes: list[np.ndarray], size: np.ndarray) -> dict[int, np.ndarray]:
+    """The moments of each part's rows with the landmarks."""
+    shared = labelled.sparkSession.sparkContext.broadcast((Landmarks(codes), np.sqrt(size)))
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks, root = shared.value
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            lang = pc.index_in(b.column("lang"), pa.array(languages, pa.string())).to_numpy(zero_copy_only=False)
+            fold = b.column("fold").to_numpy()
+            for first, after, raw, offsets in runs(b.column("text")):
+                of, code = presence(raw, offsets)
+                cuts = np.searchsorted(of, np.arange(after - first + 1))
+                kernel = marks.shared([code[x:y] for x, y in zip(cuts[:-1], cuts[1:])]) / np.sqrt(np.maximum(np.diff(cuts), 1))[:, None] / root
+                for f in np.unique(fold[first:after]):
+                    at = np.flatnonzero(fold[first:after] == f)
+                    own = lang[first:after][at]
+                    sums[f] = sums.get(f, 0.0) + moments(kernel[at], own, weight[own], len(languages))
+        for f, s in sums.items():
+            for at in range(0, len(s), 1000):
+                part = s[at : at + 1000]
+                yield pa.RecordBatch.from_arrays([pa.array([f] * len(part), pa.int32()), pa.array(range(at, at + len(part)), pa.int32()), pa.array([x.tobytes() for x in part], pa.binary())], ["fold", "i", "v"])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for f, i, v in zip(*(c.to_pylist() for c in b.columns)):
+                sums[f, i] = sums.get((f, i), 0.0) + np.frombuffer(v)
+        if sums:
+            fold, i = zip(*sums)
+            yield pa.RecordBatch.from_arrays([pa.array(fold, pa.int32()), pa.array(i, pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["fold", "i", "v"])
+
+    kind = "fold int, i int, v binary"
+    # by the matrices' rows, so that no task and no batch holds many matrices
+    rows = labelled.select("lang", "text", "fold").mapInArrow(add_up, kind).repartition("fold", "i").mapInArrow(total, kind).toArrow()
+    out: dict[int, np.ndarray] = {}
+    for f, i, v in zip(*(c.to_pylist() for c in rows.columns)):
+        out.setdefault(f, np.zeros((len(codes) + len(languages), len(codes) + 1)))[i] = np.frombuffer(v)
+    return out
+
+
+def limited(model: Model, others: list[Model | None], labelled: DataFrame, params: Params) -> Model:
+    """The model with the limits that all rows set, each scored by the model (of ``others``) that was fitted without its part."""
+    shared = labelled.sparkSession.sparkContext.broadcast(others)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fold = b.column("fold").to_numpy()
+            for f, other in enumerate(shared.value):
+                if other is not None and (fold == f).any():
+                    _, top, known, letters = measured(other, b.column("text").filter(pa.array(fold == f)))
+                    yield pa.RecordBatch.from_arrays([pa.array(top[letters]), pa.array(known[letters])], ["top", "known"])
+
+    held = written(labelled.select("text", "fold").mapInArrow(score, "top double, known double"), "held-out")
+    lowest = {c: quantile(held, c, params.tail) for c in ("top", "known")}
+    discard(held)
+    if lowest["top"] is None:
         return model
-    least = lambda x, floor: max(floor, (1 - params.slack) * float(np.quantile(x[letters], params.tail)) + params.slack * floor)
-    floor = 2 / len(first.languages) - 1
-    score = least(top, floor) if len(first.languages) > 1 else params.min_score
-    return replace(model, min_score=max(params.min_score, score), min_known=least(known, params.min_known))
+    least = lambda c, floor: max(floor, (1 - params.slack) * lowest[c] + params.slack * floor)
+    score_ = least("top", 2 / len(model.languages) - 1) if len(model.languages) > 1 else params.min_score
+    return replace(model, min_score=max(params.min_score, score_), min_known=least("known", params.min_known))
+
+
+def quantile(values: DataFrame, name: str, q: float) -> float | None:
+    """A column's quantile, exactly (interpolated as numpy does): bins are counted, and the values read of those that it lies in."""
+    in_bin = F.floor(F.col(name) * 1000)
+    bins = sorted((r[0], r[1]) for r in values.groupBy(in_bin).count().collect())
+    if not bins:
+        return None
+    ends = np.cumsum([n for _, n in bins])
+    place = q * (int(ends[-1]) - 1)
+
+    def at(k: int) -> float:
+        j = int(np.searchsorted(ends, k, side="right"))
+        of = sorted((r[0], r[1]) for r in values.where(in_bin == bins[j][0]).groupBy(name).count().collect())
+        inside = np.cumsum([n for _, n in of])
+        return of[int(np.searchsorted(inside, k - int(ends[j]) + bins[j][1], side="right"))][0]
+
+    low = int(place)
+    below, above = at(low), at(min(low + 1, int(ends[-1]) - 1))
+    return below + (above - below) * (place - low)
 
 
 def measured(model: Model, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -122,6 +122,61 @@ def test_rows_without_an_id_of_their_own(spark, ids: str) -> None:
     assert L.keep_accepted(df, model).count() >= 0.95 * texts
 
 
+def test_model_and_limits_come_from_every_row(spark) -> None:
+    """Against weighted regressions over all rows, many more than a language's weight, with and without each part; one language is ten times the others."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(12)
+    rows = [(i, " ".join(rng.choice(WORDS[k]) for _ in range(rng.randint(1, 12))), k) for i, k in enumerate(rng.choices(list(WORDS), (10, 1, 1), k=900))]
+    rows = [(i, t + " zqx" * (i % 97 == 0), k) for i, t, k in rows]  # odd ones, most of them beyond any sample
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    p = L.Params(train_per_language=60, landmarks_per_language=8, least_held=20, tail=0.02, min_score=-0.9, min_known=0.1)
+    row = L.row_hash("doc_id", "text")
+    told = sorted(df.select(L.unit_hash(row, p.seed), F.pmod(row, F.lit(5)), "lang", "text").collect())
+    sets, langs = [spectrum(r[3]) for r in told], sorted(WORDS)
+    n = {k: sum(r[2] == k for r in told) for k in langs}
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+
+    def fitted(fold: int):
+        rest = [i for i, r in enumerate(told) if r[1] != fold]
+        marks = [i for lang in langs for i in [i for i in rest if told[i][2] == lang][: p.landmarks_per_language]]
+        u, s, _ = np.linalg.svd(np.array([[k(sets[a], sets[b]) for b in marks] for a in marks]))
+        keep = s > 1e-8 * s.max()
+        feature = lambda x: np.array([k(x, sets[m]) for m in marks]) @ u[:, keep] / np.sqrt(s[keep])
+        phi = np.array([feature(sets[i]) for i in rest])
+        y = np.array([[1.0 if lang == told[i][2] else -1.0 for lang in langs] for i in rest])
+        w = np.array([min(1, p.train_per_language / n[told[i][2]]) for i in rest])
+        mean, bias = w @ phi / w.sum(), w @ y / w.sum()
+        c = phi - mean
+        weights = np.linalg.solve((c.T * w) @ c + p.ridge * w.sum() / phi.shape[1] * np.eye(phi.shape[1]), (c.T * w) @ (y - bias))
+        grams = set().union(*(sets[m] for m in marks))
+        return (lambda x: (feature(x) - mean) @ weights + bias), (lambda x: len(x & grams) / len(x))
+
+    model = L.fit(df, p)
+    score, _ = fitted(-1)
+    for r, x in zip(told[::20], sets[::20]):
+        assert L.score_column(model, pa.array([r[3]]))[1][0] == pytest.approx(score(x).max(), abs=2e-3)
+    top, known = np.zeros(len(told)), np.zeros(len(told))
+    for fold in range(5):
+        score, share = fitted(fold)
+        for i, r in enumerate(told):
+            if r[1] == fold:
+                top[i], known[i] = score(sets[i]).max(), share(sets[i])
+    least = lambda x, floor: 0.9 * np.quantile(x, p.tail) + 0.1 * floor
+    assert model.min_score == pytest.approx(least(top, -1 / 3), abs=2e-3)
+    assert model.min_known == pytest.approx(least(known, p.min_known), abs=1e-9)
+
+
+def test_quantile_is_exact(spark) -> None:
+    rng = random.Random(13)
+    for n in (1, 2, 7, 3000):
+        x = [rng.choice((rng.uniform(-2, 2), rng.uniform(0.5, 0.5004), 0.25)) for _ in range(n)]
+        df = spark.createDataFrame([(v,) for v in x], "x double")
+        for q in (0.0, 0.002, 0.4, 1.0):
+            assert L.quantile(df, "x", q) == pytest.approx(np.quantile(x, q), abs=1e-12)
+    assert L.quantile(df.limit(0), "x", 0.5) is None
+
+
 def test_scoring_needs_no_dense_matrix() -> None:
     """Ten thousand short texts against 200,000 n-grams in less memory than a matrix of them would take (8 GB)."""
     import tracemalloc
