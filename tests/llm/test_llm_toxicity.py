@@ -174,3 +174,27 @@ def test_odd_rows(spark, tables) -> None:
     none = T.fit(docs, labels.where("toxic = 0"))
     assert T.passages(docs, none).count() == 0 and T.keep_clean(docs, none).count() == 1600
     assert T.passages(docs, T.fit(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_fit_takes_every_labelled_document(spark) -> None:
+    """Against a fit on lists of all labelled texts, more than 2,500 toxic and 5,000 clean ones, near copies among them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(14)
+    rare = [f"rare{chr(97 + i)}x" for i in range(20)]
+    rows = []
+    for i in range(9000):
+        words = [rng.choice(CLEAN) + str(rng.randrange(50)) for _ in range(rng.randint(8, 14))]
+        words += [rng.choice(TOXIC + rare)] * (i % 3 == 0) + [rng.choice(TOXIC)] * (i % 200 == 1)
+        rows.append((i, " ".join(words)))
+    rows += [(9000 + i, f"{rows[3 * i][1]} vrenk") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i >= 9000 or i % 3 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    order = {r[0]: r[1] for r in docs.select("doc_id", T.unit_hash(F.col("doc_id"), T.Params().seed)).collect()}
+    rows.sort(key=lambda r: order[r[0]])
+    kinds = [[t for i, t in rows if (i >= 9000 or i % 3 == 0) == kind] for kind in (True, False)]
+    want = T.fit_texts(*kinds)
+    for p in (T.Params(), T.Params(held_labels=5000)):  # held by each worker, and joined
+        got = T.fit(docs, labels, p)
+        assert len(got.keys) and got.keys.tolist() == want.keys.tolist()
+        assert got.scores == pytest.approx(want.scores) and (got.drift, got.lam, got.k) == pytest.approx((want.drift, want.lam, want.k))
