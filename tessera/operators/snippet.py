@@ -36,6 +36,11 @@ def _cut(content: Column, best: Column, window: int) -> Column:
     return F.concat(F.when(start > 0, "...").otherwise(""), F.when(bare == "", piece).otherwise(bare), F.when(end < F.length(content), "...").otherwise(""))
 
 
+def beginning(content: Column, most: int = 200) -> Column:
+    """A text's first characters, with dots where there are more; an empty one stays empty, none stays none."""
+    return F.concat(F.substring(content, 1, most), F.when(F.length(content) > most, "...").otherwise(""))
+
+
 def snippets(docs: DataFrame, words: list[str], window: int = 300) -> DataFrame:
     """(doc_id, snippet) of documents (doc_id, content).  Meant for the few documents of a result.
 
@@ -44,7 +49,7 @@ def snippets(docs: DataFrame, words: list[str], window: int = 300) -> DataFrame:
     """
     words = [w.lower() for w in words if w]
     docs = docs.select("doc_id", "content")
-    plain = F.concat(F.substring("content", 1, 200), F.when(F.length("content") > 200, "...").otherwise(""))
+    plain = beginning(F.col("content"))
     empty = F.when(F.col("content").isNull(), "[file no longer available]").when(F.col("content") == "", "[empty document]")
     if not words:
         return docs.select("doc_id", F.coalesce(empty, plain).alias("snippet"))
