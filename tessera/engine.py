@@ -14,7 +14,7 @@ from .functions.text import Analyzer, display_path, sanitize_text
 from .logs import LOG, Periodic
 from .operators import crawl as C
 from .operators import incremental, metrics, rank, suggest
-from .operators.index import Index, analyzed, load, postings, save, stored
+from .operators.index import Index, build, load, save, stored
 from .operators.snippet import snippets
 from .plans import query as Q
 from .sources.sinks import save_documents
@@ -64,7 +64,7 @@ class SearchEngine:
     @classmethod
     def build(cls, spark: SparkSession, docs: DataFrame, analyzer: Analyzer = Analyzer(), scoring: str = "bm25", **places: str) -> SearchEngine:
         began = time.monotonic()
-        engine = cls(spark, stored(spark, docs, postings(analyzed(docs, analyzer)), analyzer), scoring, **places)
+        engine = cls(spark, stored(spark, build(docs, analyzer)), scoring, **places)
         engine._indexed(began)
         return engine
 
@@ -228,12 +228,12 @@ class SearchEngine:
     # ---- upkeep ----
 
     def _replace(self, index: Index) -> None:
-        old, self.index = self.index, index
+        old, self.index = self.index, stored(self.spark, index)
         self.cache.clear()
         if old.path:
             delete(self.spark, old.path)
         if self.index_path:
-            save(index, self.index_path)
+            save(self.index, self.index_path)
 
     def _saved(self, docs: DataFrame) -> None:
         if self.documents:
@@ -242,7 +242,7 @@ class SearchEngine:
     def rebuild(self, docs: DataFrame) -> dict:
         """Indexes the documents anew, saves index and documents, and answers the most frequent queries again."""
         began = time.monotonic()
-        self._replace(stored(self.spark, docs, postings(analyzed(docs, self.index.analyzer)), self.index.analyzer, self.index.version + 1))
+        self._replace(build(docs, self.index.analyzer, self.index.version + 1))
         self._saved(self.index.docs)
         self.prewarm()
         return {"status": "ok", "docs": self.index.stats.first()["n"], "elapsed_ms": self._indexed(began)}
