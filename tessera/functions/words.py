@@ -117,3 +117,28 @@ def term_batches(batches: Iterator[pa.RecordBatch], analyzer: Analyzer) -> Itera
             some = np.flatnonzero(df)
             n = np.bincount(c.word, c.tf, len(c.words)).astype(np.int64)
             yield pa.RecordBatch.from_pydict({"term": c.words.take(pa.array(some)).cast(pa.string()), "df": pa.array(df[some]), "n": pa.array(n[some])})
+
+
+def measure_batches(batches: Iterator[pa.RecordBatch], analyzer: Analyzer, terms: pa.Array, idf: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(term, doc_id, tf, dl, part) of batches (doc_id, content): for each document with tokens a row with its length and its known terms' share
+    of its squared norm (its term is a blank and the id, which no term is), and its postings of terms that aren't among ``terms``."""
+    for batch in batches:
+        for c in counted(batch.column("content"), analyzer):
+            at = pc.fill_null(pc.index_in(c.words, terms), -1).to_numpy()
+            known = at >= 0
+            weight = np.zeros(len(at))
+            weight[known] = idf[at[known]]
+            part = np.bincount(c.doc, ((1 + np.log(c.tf)) * weight[c.word]) ** 2, len(c.dl))
+            rest, some = ~known[c.word], np.flatnonzero(c.dl)
+            own = batch.column("doc_id").take(pa.array(some + c.first))
+            names = pc.binary_join_element_wise("", own.cast(pa.string()), " ")
+            none = np.zeros(int(rest.sum()))
+            yield pa.RecordBatch.from_pydict(
+                {
+                    "term": pa.concat_arrays([names, c.words.take(pa.array(c.word[rest])).cast(pa.string())]),
+                    "doc_id": pa.concat_arrays([own, batch.column("doc_id").take(pa.array(c.doc[rest] + c.first))]),
+                    "tf": pa.array(np.concatenate([np.ones(len(some), np.int64), c.tf[rest]])),
+                    "dl": pa.array(np.concatenate([c.dl[some], none.astype(np.int64)])),
+                    "part": pa.array(np.concatenate([part[some], none])),
+                }
+            )
